@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .mixing import OP5_SQL, op5_mix
+from .packing import op9_packing
+from .simhash import op7_simhash
 
 QUERIES = {
     "op5_mix": op5_mix,
+    "op7_simhash": op7_simhash,
+    "op9_packing": op9_packing,
 }
 
 SQL = {
