@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import op1_html
 from .licenses import op4_licenses
 from .mixing import OP5_SQL, op5_mix
 from .packing import op9_packing
@@ -13,6 +14,7 @@ from .suffixes import op3_suffixes
 from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_rules": op2_rules,
     "op3_suffixes": op3_suffixes,
     "op4_licenses": op4_licenses,
