@@ -17,50 +17,46 @@ from .common import SPACE_CHARS, WORD, table, words_of
 SYMBOLS = "#*$%&|<>"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 #: Buckets of the hashed n-grams (a fixed bound on what is collected) and the least mean log ratio kept.
-BUCKETS, THRESHOLD = 8192, -0.12
-#: A document is trusted if it passes the base rules, is this long and repeats and marks up little.
-TRUSTED_WORDS, TRUSTED_SYMBOLS = 50, 0.005
+BUCKETS, THRESHOLD = 8192, -0.35
+#: A text is trusted if it has this many characters, and few symbols, capitals and exclamation marks.
+TRUSTED_CHARS, TRUSTED_ODD, TRUSTED_NOT = 300, 0.06, "!ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊÎÑÓÔÖÙÚÛÜ"
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 
 
-def _repeats(windows: Column) -> Column:
-    """Words covered by windows found twice or more, of the array of a text's window hashes."""
-    numbered = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    ordered = F.sort_array(numbered)
-    again = F.zip_with(
-        F.zip_with(ordered, F.slice(ordered, 2, F.size(ordered)), lambda a, b: F.struct(a.alias("a"), (a["h"] == b["h"]).alias("next"))),
-        F.concat(F.array(F.lit(None).cast(_PAIR)), ordered),
-        lambda x, before: F.when(x["next"] | (x["a"]["h"] == before["h"]), x["a"]["i"]),
-    )
-    starts = F.sort_array(F.array_compact(again))
-    gaps = F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
-    return F.aggregate(gaps, F.lit(0).cast("long"), lambda total, gap: total + gap)
-
+def _with_repeats(rows: DataFrame) -> DataFrame:
+    """`rows` with n_repeat_words, the words covered by a window (of _windows) found twice or more.
 
-_PAIR = "struct<h:bigint,i:int>"
+    Texts whose windows are all distinct go through with nulls; each array is a column of its own, so
+    that it is made once.
+    """
+    unique = F.size(F.array_distinct("_windows")) == F.size("_windows")
+    numbered = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.withColumn("_ordered", F.when(~unique, numbered))
+    rows = rows.withColumn("_after", F.slice("_ordered", 2, F.size("_ordered")))
+    # the places of a window and of its successor in hash order, where both are equal
+    equal = F.zip_with("_ordered", "_after", lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    rows = rows.withColumn("_starts", F.sort_array(F.array_distinct(F.flatten(F.array_compact(equal)))))
+    rows = rows.withColumn("_later", F.slice("_starts", 2, F.size("_starts")))
+    gaps = F.zip_with("_starts", "_later", lambda a, b: F.coalesce(F.least(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    total = F.aggregate(gaps, F.lit(0).cast("long"), lambda n, gap: n + gap)
+    return rows.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long")))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (null text: the empty one)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    hashed = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACE_CHARS, "")) > 0)
-    h = F.col("_words")
-    tails = [F.slice(h, k + 1, F.size(h)) for k in range(1, WINDOW)]
-    windows = h
-    for tail in tails:  # a window is the hash of its words' hashes, folded one by one
-        windows = F.zip_with(windows, tail, lambda a, b: F.xxhash64(a, b))
-    windows = F.when(F.size(h) >= WINDOW, F.slice(windows, 1, F.size(h) - (WINDOW - 1))).otherwise(F.slice(h, 1, 0))
-    rows = docs.withColumns({"_words": hashed, "_lines": lines})
-    rows = rows.withColumn("_windows", windows)
-    unique = F.size(F.array_distinct("_windows")) == F.size("_windows")
+    rows = docs.withColumns({"_words": F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)), "_lines": lines})
+    starts = F.slice("_words", 1, F.greatest(F.size("_words") - (WINDOW - 1), F.lit(0)))
+    window = lambda h, i: F.xxhash64(h, *[F.get("_words", i + k) for k in range(1, WINDOW)])
+    rows = _with_repeats(rows.withColumn("_windows", F.transform(starts, window)))
     return rows.select(
         *docs.columns,
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(unique, F.lit(0).cast("long")).otherwise(_repeats(F.col("_windows"))).alias("n_repeat_words"),
+        "n_repeat_words",
     )
 
 
@@ -102,9 +98,14 @@ def with_ratio(rows: DataFrame, ratios: list[float]) -> DataFrame:
 
 
 def trusted() -> Column:
-    """Which rows of base_counts() make up the trusted target."""
-    sparse = F.col("n_symbols") <= TRUSTED_SYMBOLS * F.col("word_chars")
-    return ~base_failed() & (F.col("n_words") >= TRUSTED_WORDS) & (F.col("n_repeat_words") == 0) & (F.col("n_dup_lines") == 0) & sparse
+    """Which texts make up the trusted target: long enough, in lower case mostly, and with few marks.
+
+    It is read off the text alone, with no regard to the counts above, so that counting the n-grams
+    of the corpus doesn't make them twice.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    odd = F.length(text) - F.length(F.translate(text, SYMBOLS + TRUSTED_NOT, ""))
+    return (F.length(text) >= TRUSTED_CHARS) & (odd <= TRUSTED_ODD * F.length(text))
 
 
 def quality_rules(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, is_trusted: Column | None = None) -> DataFrame:
@@ -113,13 +114,11 @@ def quality_rules(docs: DataFrame, threshold: float = THRESHOLD, buckets: int =
     Null texts count as empty ones, and texts of fewer than ten words fail; repeated rows are judged
     alike; an empty table gives an empty result; columns named like the added ones are replaced. With
     no trusted row at all the ratio is flat up to smoothing and the base rules decide.
-    `is_trusted` may name another trusted target, over the columns of base_counts().
+    `is_trusted` may name another trusted target, over the columns of `docs`.
     """
     docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
-    counted = base_counts(docs)
-    marked = counted.select("text", (trusted() if is_trusted is None else is_trusted).alias("trusted"))
-    ratios = log_ratios(marked, buckets)
-    scored = with_ratio(counted.withColumn("base_failed", base_failed()), ratios)
+    ratios = log_ratios(docs.select("text", (trusted() if is_trusted is None else is_trusted).alias("trusted")), buckets)
+    scored = with_ratio(base_counts(docs).withColumn("base_failed", base_failed()), ratios)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
