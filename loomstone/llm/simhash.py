@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, materialize, table
@@ -64,15 +64,15 @@ def simhash(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary() if pa.types.is_string(batch.column(1).type) else pa.large_binary())
-        found = np.array([simhash(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        found = np.array([simhash(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """doc_id, text_hash and fp (the fingerprint as a signed long) of every row."""
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
+    return narrow.mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp long")
 
 
 def link_stars(prints: DataFrame) -> DataFrame:
@@ -112,6 +112,13 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def rooted(prints: DataFrame) -> DataFrame:
+    """fp, first_id (the least doc_id that has it) and root (the least fingerprint reachable) of distinct fingerprints."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = components(link_stars(prints)).withColumnRenamed("node", "fp")
+    return materialize(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links) of every row of `docs`.
 
@@ -120,29 +127,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     columns of `docs` are ignored. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(link_stars(prints)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialize(rooted, "simhash-roots")
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
+    found = rooted(prints)
+    named = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_print = found.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id names their component: one document of each near-duplicate group.
+    """One row of `docs` for each near-duplicate group, with all its columns.
 
-    Of rows that repeat such a doc_id the one with the least text hash stays; rows with a null doc_id
-    have no name to stay under and are kept only when nothing else of their group is.
+    It is the one of least doc_id (a null one only if there is no other), then of least text hash; of
+    rows equal in both the one whose columns hash least.
     """
-    named = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = named.groupBy("doc_id").agg(F.min("fp").alias("_fp")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"))
-    rows = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    kept = rows.join(keep, "_k", "left_semi")
-    order = Window.partitionBy("_k").orderBy(F.xxhash64("text"))
+    prints = materialize(fingerprints(docs), "simhash")
+    groups = prints.join(rooted(prints).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_first")
+    keep = groups.groupBy("root").agg(first).select(_key(F.col("_first.doc_id")).alias("_key"), F.col("_first.text_hash").alias("_hash"))
+    rows = docs.withColumns({"_key": _key(F.col("doc_id")), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    kept = rows.join(keep.distinct(), ["_key", "_hash"], "left_semi")
+    order = Window.partitionBy("_key", "_hash").orderBy(F.xxhash64(*docs.columns))
     return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*docs.columns)
 
 
+def _key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long").cast("string"), F.lit("none"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
