@@ -40,7 +40,7 @@ class WordIds:
     def _parts(self, text: str) -> Iterator[str]:
         start = 0
         while len(text) - start > PART:
-            cut = text.rfind(" ", start, start + PART)
+            cut = text.rfind(" ", start + 1, start + PART)
             if cut < 0 and (cut := text.find(" ", start + PART)) < 0:
                 break
             yield text[start:cut]

@@ -31,7 +31,7 @@ def word_parts(text: bytes, size: int = PART) -> Iterator[list[bytes]]:
     start = 0
     while len(text) - start > size:
         part = text[start : start + size]
-        keep = max(part.rfind(c) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        keep = max(part.rfind(c, 1) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
         if keep < 0:  # one word longer than a part
             size *= 2
             continue
