@@ -7,27 +7,37 @@ remaining capacities finds that window. Shards of bounded size are packed indepe
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-#: Pieces that one task packs; words whose ids a worker remembers; characters split at a time.
-SHARD, REMEMBERED, PART = 50_000, 300_000, 1 << 20
+#: Pieces that one task packs; words and pieces whose ids a task remembers (some 250 MB); characters split at a time.
+SHARD, REMEMBERED, PART = 50_000, 1_500_000, 1 << 20
 
 
 class WordIds:
-    """Ids of texts for a tokenizer that drops white space: each run between blanks is encoded once."""
+    """Ids of texts for a tokenizer that drops white space: each run between blanks is encoded once.
+
+    For a byte-pair tokenizer that lower-cases, splits by one pattern and marks the ends of words, runs
+    are split by that pattern here, and only pieces not seen before are encoded, many in one call:
+    the marked ids tell where each ends. Lower-casing is left to the tokenizer where the two might
+    differ (texts not in composed form, and letters whose lower case depends on their place or
+    takes two characters), and so are pieces of anything but letters or ASCII.
+    """
 
     def __init__(self, tokenizer: str = TOKENIZER) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if "/" not in tokenizer:
             import public_tokenizers
@@ -36,6 +46,18 @@ class WordIds:
         self._encoder = Tokenizer.from_file(tokenizer)
         self._encoder.encode_special_tokens = True  # their strings in a text are ordinary text
         self._known: dict[str, bytes] = {"": b""}
+        self._pieces: dict[str, bytes] = {}
+        spec = json.loads(self._encoder.to_str())
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
+        self._split = None
+        if lowers and [x["type"] for x in steps] == ["Split", "ByteLevel"] and spec["model"].get("end_of_word_suffix") == "</w>":
+            self._split = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            self._plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
+            self._plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocabulary = spec["model"]["vocab"]
+            self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _parts(self, text: str) -> Iterator[str]:
         start = 0
@@ -47,18 +69,46 @@ class WordIds:
             start = cut
         yield text[start:]
 
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        ids = np.array(self._plain.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = ((np.flatnonzero(self._closes[ids]) + 1) * 4).tolist()
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer does not mark the end of every piece")
+        blob, start = ids.tobytes(), 0
+        for piece, end in zip(pieces, ends):
+            self._pieces[piece] = blob[start:end]
+            start = end
+
+    def _learn(self, runs: list[str], lowered: bool) -> None:
+        split = {}
+        if lowered and self._split:
+            for run in runs:
+                pieces = [run] if run.isalpha() else self._split(run)
+                if all(p.isalpha() or p.isascii() and p.isprintable() for p in pieces):
+                    split[run] = pieces
+            if new := [p for p in dict.fromkeys(p for pieces in split.values() for p in pieces) if p not in self._pieces]:
+                self._learn_pieces(new)
+            for run, pieces in split.items():
+                self._known[run] = b"".join([self._pieces[p] for p in pieces])
+        if rest := [run for run in runs if run not in split]:
+            for run, found in zip(rest, self._encoder.encode_batch_fast(rest, add_special_tokens=False)):
+                self._known[run] = np.array(found.ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         out = []
         for part in self._parts(text):
+            lowered = part.isascii() or not ("\u03a3" in part or "\u0130" in part) and unicodedata.is_normalized("NFC", part)
+            if lowered and self._split:
+                part = part.lower()
             runs = part.replace("\n", " ").split(" ")
             known = self._known
             if new := [w for w in dict.fromkeys(runs) if w not in known]:
-                if len(known) + len(new) > REMEMBERED:
+                if len(known) + len(self._pieces) + 2 * len(new) > REMEMBERED:
+                    self._pieces.clear()
                     known = self._known = {"": b""}
-                    new = list(dict.fromkeys(runs))
-                for w, found in zip(new, self._encoder.encode_batch(new, add_special_tokens=False)):
-                    known[w] = np.array(found.ids, "<u4").tobytes()
+                    new = list(dict.fromkeys(w for w in runs if w))
+                self._learn(new, lowered)
             out.append(b"".join([known[w] for w in runs]))
         return b"".join(out)
 
