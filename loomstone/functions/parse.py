@@ -67,5 +67,5 @@ def trailers(messages: DataFrame, message: str = "message") -> DataFrame:
 def ignored_revisions(lines: DataFrame, line: str = "value") -> DataFrame:
     """The distinct revisions (sha) that a list names: comments go, hexadecimal words of four or more stay."""
     words = F.split(F.regexp_replace(F.split_part(F.col(line), F.lit("#"), F.lit(1)), r"^\s+|\s+$", ""), r"\s+")
-    found = lines.select(F.lower(F.explode(words)).alias("sha"))
+    found = lines.select(F.explode(words).alias("sha")).select(F.lower("sha").alias("sha"))
     return found.filter(F.rlike("sha", F.lit("^[0-9a-f]{4,}$"))).distinct()

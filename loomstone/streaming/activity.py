@@ -41,5 +41,9 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over the Parquet file or folder at `path`, with the schema that it has now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("basePath", path.rpartition("/")[0]).parquet(path)
+    """A stream over the Parquet file or folder at `path`, with the schema that it has now.
+
+    The path is given as a pattern of itself, for a stream takes any other to be a folder.
+    """
+    folder, _, name = path.rpartition("/")
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/[{name[0]}]{name[1:]}")
