@@ -10,6 +10,7 @@ collapses to one number and every word to the mean of its n-grams' numbers.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import doc_key, table
 
-#: Training reads at most this many labelled rows, those of least hash, and of texts up to this length.
-SAMPLE_ROWS, SAMPLE_CHARS = 10_000, 12_000
+#: Training reads at most this many labelled rows, those of least hash, and of texts up to this length: 40 MB.
+SAMPLE_ROWS, SAMPLE_CHARS = 5_000, 8_000
 BUCKETS, DIM, WINDOW, GRAMS = 1 << 15, 8, 2, (3, 4, 5, 6)
 THRESHOLD = 0.3
 #: Words whose scores a worker remembers; characters of a text scored at a time.
@@ -93,22 +94,28 @@ def train(texts: list[str], labels: list[int], epochs: int = 60, warm: int = 12,
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     vocabulary: dict[bytes, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tokens(t)], np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tokens(t)], np.int32) for t in texts]
     pad = len(vocabulary)  # a word of no n-grams that fills up texts shorter than a window
-    docs = [np.concatenate([d, np.full(max(0, WINDOW - len(d)), pad)]) for d in docs]
-    grams = [gram_ids(w) for w in vocabulary] + [[]]
-    sizes = np.array([len(g) for g in grams])
-    flat = np.fromiter((i for g in grams for i in g), np.int64, int(sizes.sum()))
+    docs = [np.concatenate([d, np.full(max(0, WINDOW - len(d)), pad, np.int32)]) for d in docs]
+    every, counts = array("H"), array("i")
+    for w in vocabulary:
+        ids = gram_ids(w)
+        every.extend(ids)
+        counts.append(len(ids))
+    del vocabulary
+    flat = np.frombuffer(every, np.uint16)
+    sizes = np.append(np.frombuffer(counts, np.int32), 0).astype(np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    flat_pad = np.append(flat, 0)
+    flat_pad = np.append(flat, np.uint16(0))
 
     def word_numbers(per_bucket: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0.0], np.cumsum(per_bucket[flat])))
         return (sums[begin[1:]] - sums[begin[:-1]]) / np.maximum(sizes, 1)
 
     # (text, distinct word) pairs for the warm epochs
-    pair_doc = np.concatenate([np.full(len(np.unique(d)), k) for k, d in enumerate(docs)])
-    pair_word = np.concatenate([np.unique(d) for d in docs])
+    distinct = [np.unique(d) for d in docs]
+    pair_doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in distinct])
+    pair_word = np.concatenate(distinct)
     per_doc = np.bincount(pair_doc, minlength=len(docs)).astype(np.float64)
     # every window start, text by text
     all_words = np.concatenate(docs)
