@@ -13,7 +13,8 @@ WINDOWS = {"day": ("1 day", None, None), "week": ("7 days", "7 days", "4 days")}
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomstone-')}"
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='loomstone-')}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
