@@ -23,12 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where a session names none (a single-machine test) is a temporary folder made.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='loomstone-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='loomstone-')}")
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
