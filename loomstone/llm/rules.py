@@ -79,7 +79,8 @@ def with_ngrams(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def log_ratios(rows: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log(trusted / raw) of each bucket, add-one smoothed, over all of `rows` (text, trusted)."""
-    grams = with_ngrams(rows, buckets).select("trusted", F.explode("_grams").alias("bucket"))
+    # in order, a text's equal buckets meet in the partial counts one after another
+    grams = with_ngrams(rows, buckets).select("trusted", F.explode(F.sort_array("_grams")).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("good")).collect()
     raw, good = [1.0] * buckets, [1.0] * buckets
     for row in counts:  # at most `buckets` rows
