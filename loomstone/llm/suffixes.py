@@ -37,7 +37,7 @@ MODULUS = 273
 COVER = (1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256)
 HEAD = LENGTH - MODULUS + 1
 #: Bytes of text in a block (a longer document is a block of its own), and of names in a range.
-BLOCK, RANGE = 2 << 20, 32 << 20
+BLOCK, RANGE = 1 << 20, 32 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, HEAD // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
