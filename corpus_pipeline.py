@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import materialize, table
+from loomstone.llm.copies import without_copies
 from loomstone.llm.mixing import mixed_rows
 from loomstone.llm.packing import pack
 from loomstone.llm.simhash import one_of_each
@@ -29,6 +30,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return one_of_each(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays, and of these none with an earlier one of 0.8 of its five-word shingles (Jaccard)."""
+    return without_copies(near_duplicates(spark, docs, sf_dir))
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 400-byte strings that stand twice or more are cut out of the texts; n_chars follows."""
     return dedup(docs, rewrite=True).select(*docs.columns)
@@ -46,7 +52,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", toxicity),
-    ("near_duplicates", near_duplicates),
+    ("near_duplicates", near_copies),
     ("repeated_spans", repeated_spans),
     ("mixture", mixture),
     ("packing", packing),
