@@ -9,6 +9,8 @@ collapses to one number and every word to the mean of its n-grams' numbers.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,16 +29,35 @@ THRESHOLD = 0.3
 #: Words whose scores a worker remembers; characters of a text scored at a time.
 REMEMBERED, PART = 400_000, 1 << 20
 _BLANK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: White space, punctuation and symbols beyond ASCII (none lie past the second plane), and the zero-width space.
+_PARTED = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(128, 0x20000)) if c.isspace() or c == "\u200b" or unicodedata.category(c)[0] in "ZPS") + "]")
+#: A run of more than LONGEST characters is read as pieces of PIECE, each half over the next, so that all of it counts.
+LONGEST, PIECE = 40, 20
 
 
 def tokens(text: str) -> list[bytes]:
-    """Lower-cased runs of letters, digits and other non-ASCII characters, as UTF-8."""
-    return text.lower().encode("utf-8", "replace").translate(_BLANK).split()
+    """Lower-cased runs of letters, digits and marks, as UTF-8; the pieces of long runs in their place."""
+    text = text.lower()
+    if not text.isascii():
+        text = _PARTED.sub(" ", text)
+    found = text.encode("utf-8", "replace").translate(_BLANK).split()
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [piece for word in found for piece in pieces(word)]
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """The word, or if it is long the pieces whose starts are half a piece apart: every PIECE // 2 characters stand whole in one."""
+    chars = word.decode("utf-8", "replace") if len(word) > LONGEST else ""
+    if len(chars) <= LONGEST:
+        return [word]
+    step = PIECE // 2
+    return [chars[i : i + PIECE].encode("utf-8", "replace") for i in range(0, len(chars) - step, step)]
 
 
 def gram_ids(word: bytes, buckets: int = BUCKETS) -> list[int]:
     """Hashed n-grams of a word's characters between its edges."""
-    chars = "<" + word.decode("utf-8", "replace")[:40] + ">"
+    chars = "<" + word.decode("utf-8", "replace") + ">"
     out = [zlib.crc32(chars[i : i + n].encode()) % buckets for n in GRAMS for i in range(len(chars) - n + 1)]
     return out or [zlib.crc32(chars.encode()) % buckets]
 

@@ -89,6 +89,24 @@ def test_parts_do_not_matter(monkeypatch):
     assert abs(T.Scorer(model).margin(text) - whole) < 1e-9
 
 
+def test_whole_runs_are_read():
+    """Words joined by other than ASCII blanks, and whatever stands after character 40 of an unbroken run."""
+    words = ["plain", "scoundrel", "naïve", "woven"]
+    for joint in "\u00a0\u3000\u3002\u2014\u200b\u00bb":
+        assert T.tokens(joint.join(words)) == [w.encode() for w in words]
+    assert T.tokens("हिन्दी ภาษาไทย") == ["हिन्दी".encode(), "ภาษาไทย".encode()]
+    run = "".join(chr(0x4E00 + i * 7) for i in range(333))
+    read = [p.decode() for p in T.tokens(run)]
+    assert all(any(run[i : i + 10] in p for p in read) for i in range(len(run) - 9)) and all(p in run for p in read)
+    assert T.tokens("x" * 40) == [b"x" * 40]
+    model = T.Model(np.zeros(T.BUCKETS), 0.0)
+    for i in T.gram_ids(b"scoundrel")[1:]:
+        model.weights[i] = 5.0
+    scorer = T.Scorer(model)
+    for at in (5, 60, 997):
+        assert scorer.margin("qz" * (at // 2) + "scoundrel" + "qz" * 500) > scorer.margin("qz" * 600) + 0.5
+
+
 def test_sample_is_bounded(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     sample = T.labelled_sample(docs, labels, "toxic", F.lit(True), 100)
