@@ -62,6 +62,25 @@ def gram_ids(word: bytes, buckets: int = BUCKETS) -> list[int]:
     return out or [zlib.crc32(chars.encode()) % buckets]
 
 
+def text_parts(text: str) -> Iterator[str]:
+    """The text in parts of about PART characters; no word is cut, and one longer than a part makes the part longer."""
+    start, size = 0, PART
+    while len(text) - start > size:
+        end = start + size
+        while end > start and not _parts_words(text[end - 1]):
+            end -= 1
+        if end == start:
+            size *= 2
+            continue
+        yield text[start:end]
+        start, size = end, PART
+    yield text[start:]
+
+
+def _parts_words(char: str) -> bool:
+    return not char.isalnum() if char.isascii() else _PARTED.match(char) is not None
+
+
 class Model:
     """One number for each n-gram bucket, a bias, and the scale of both: the collapsed softmax."""
 
@@ -84,10 +103,8 @@ class Scorer:
     def margin(self, text: str | None) -> float:
         """Log odds of the worst window; the bias alone for a text without words."""
         worst, held, known, word = None, [], self._known, self._word
-        text = text or ""
-        for start in range(0, max(1, len(text)), PART):
-            part = tokens(text[start : start + PART])
-            values = held + [known[w] if w in known else word(w) for w in part]
+        for part in text_parts(text or ""):
+            values = held + [known[w] if w in known else word(w) for w in tokens(part)]
             if len(values) < WINDOW:
                 held = values
                 continue

@@ -89,6 +89,16 @@ def test_parts_do_not_matter(monkeypatch):
     assert abs(T.Scorer(model).margin(text) - whole) < 1e-9
 
 
+def test_no_word_is_cut(monkeypatch):
+    model = T.Model(np.random.default_rng(0).normal(size=T.BUCKETS), -1.0)
+    for text in ("word after scoundrels, of text " * 40, "weft\u3000warp\u3002" * 60, "a " + "z" * 500 + " end", "z" * 333):
+        monkeypatch.setattr(T, "PART", 1 << 20)
+        whole = T.Scorer(model).margin(text)
+        for size in (1, 50, 97):
+            monkeypatch.setattr(T, "PART", size)
+            assert "".join(T.text_parts(text)) == text and abs(T.Scorer(model).margin(text) - whole) < 1e-9
+
+
 def test_whole_runs_are_read():
     """Words joined by other than ASCII blanks, and whatever stands after character 40 of an unbroken run."""
     words = ["plain", "scoundrel", "naïve", "woven"]
