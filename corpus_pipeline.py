@@ -15,9 +15,12 @@ from loomstone.llm.copies import without_copies
 from loomstone.llm.mixing import mixed_rows
 from loomstone.llm.packing import pack
 from loomstone.llm.simhash import one_of_each
-from loomstone.llm.suffixes import dedup
+from loomstone.llm.suffixes import LENGTH, dedup
 from loomstone.llm.toxicity import fit, held_out, without_toxic
 
+#: Bytes of a repeated passage that goes: 51 words have as many in all but a few of the given texts (README).
+PASSAGE = 200
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subword model rejects go; it learns from the labels that op10 learns from."""
@@ -35,9 +38,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_copies(near_duplicates(spark, docs, sf_dir))
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that stand twice or more are cut out of the texts; n_chars follows."""
-    return dedup(docs, rewrite=True).select(*docs.columns)
+def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = LENGTH) -> DataFrame:
+    """Bytes of strings of `length` bytes that stand twice or more are cut out of the texts; n_chars follows."""
+    return dedup(docs, rewrite=True, length=length).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """repeated_spans() at a length below that of passages of 51 words."""
+    return repeated_spans(spark, docs, sf_dir, PASSAGE)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +61,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", toxicity),
     ("near_duplicates", near_copies),
-    ("repeated_spans", repeated_spans),
+    ("repeated_spans", repeated_passages),
     ("mixture", mixture),
     ("packing", packing),
 ]

@@ -14,7 +14,8 @@ a sampled pair starts within both with 128 equal bytes. The steps:
 Only the order of names matters here, never the order of distinct prefixes, so a name is a 64-bit hash
 and not a rank. A block of documents sends each of its names once (a hot passage costs one name a
 block, however many of its documents hold it) and gets one bit back for each. Texts themselves are
-written once, in blocks bucketed by number, and never shuffled.
+written once, in blocks bucketed by number, and never shuffled. The figures above are op3's; for strings
+of another length the cover and the heads follow from it (cover_for).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,14 @@ LENGTH = 400
 MODULUS = 273
 COVER = (1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256)
 HEAD = LENGTH - MODULUS + 1
+#: Perfect difference covers for shorter strings, by modulus.
+COVERS = {
+    MODULUS: COVER,
+    133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
+    73: (1, 2, 4, 8, 16, 32, 37, 55, 64),
+    7: (1, 2, 4),
+}
+LEAST_HEAD = 64
 #: Bytes of text in a block (a longer document is a block of its own), and of names in a range.
 BLOCK, RANGE = 1 << 20, 32 << 20
 
@@ -44,6 +54,23 @@ _MULTIPLIERS = _RNG.integers(1, 1 << 63, HEAD // 8, dtype=np.uint64) * np.uint64
 _A, _B, _C = (np.uint64(int(x)) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
+class Cover(NamedTuple):
+    """The length of the strings that count as repeats, and which suffixes are sampled for it."""
+
+    length: int = LENGTH
+    modulus: int = MODULUS
+    head: int = HEAD
+
+
+def cover_for(length: int) -> Cover:
+    """The sparsest cover whose sampled suffixes still have LEAST_HEAD bytes within a string of `length`."""
+    for modulus in COVERS:
+        head = (length - modulus + 1) // 8 * 8
+        if head >= LEAST_HEAD:
+            return Cover(length, modulus, min(head, HEAD))
+    raise ValueError(f"strings of {length} bytes are too short: {min(COVERS) + LEAST_HEAD - 1} at least")
+
+
 def _finish(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(30)
     h *= _B
@@ -58,17 +85,17 @@ def _eights(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(data) - 7,), (1,))
 
 
-def head_names(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled positions below n - HEAD + 1, in order, and the names of the HEAD bytes at each."""
+def head_names(data: np.ndarray, n: int, cover: Cover = Cover()) -> tuple[np.ndarray, np.ndarray]:
+    """Sampled positions below n - head + 1, by residue, and the names of the head's bytes at each."""
     words, places, names = _eights(data), [], []
-    for residue in COVER:
-        at = np.arange(residue, n - HEAD + 1, MODULUS)
+    for residue in COVERS[cover.modulus]:
+        at = np.arange(residue, n - cover.head + 1, cover.modulus)
         if not len(at):
             continue
         h = np.zeros(len(at), np.uint64)
         stop = int(at[-1]) + 1
-        for k in range(HEAD // 8):
-            w = words[residue + 8 * k : stop + 8 * k : MODULUS]
+        for k in range(cover.head // 8):
+            w = words[residue + 8 * k : stop + 8 * k : cover.modulus]
             h += (w ^ (w >> np.uint64(32))) * _MULTIPLIERS[k]
             h ^= h >> np.uint64(29)
         places.append(at)
@@ -78,16 +105,16 @@ def head_names(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(names)
 
 
-def prefix_names(data: np.ndarray) -> np.ndarray:
-    """Names of the LENGTH bytes at every position of `data` that has as many (by doubling)."""
+def prefix_names(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Names of the `length` bytes at every position of `data` that has as many (by doubling)."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     h = _eights(padded)[: len(data) - 7] * _A
     size = 8
-    while size <= LENGTH // 2:
+    while size <= length // 2:
         h = _doubled(h, size)
         size *= 2
-    if size < LENGTH:
-        h = _doubled(h, LENGTH - size)
+    if size < length:
+        h = _doubled(h, length - size)
     return _finish(h)
 
 
@@ -132,7 +159,8 @@ class Names:
 class Block:
     """Documents side by side: the bytes of their texts and where each begins."""
 
-    def __init__(self, payload: bytes, column: str) -> None:
+    def __init__(self, payload: bytes, column: str, cover: Cover = Cover()) -> None:
+        self.cover = cover
         self.rows = pa.ipc.open_stream(pa.py_buffer(payload)).read_all().combine_chunks()
         texts = self.rows.column(column)
         texts = texts.chunk(0) if texts.num_chunks else pa.array([], pa.string())
@@ -145,7 +173,7 @@ class Block:
         else:
             data, self.edges = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.n = len(data)
-        self.data = np.concatenate([data, np.zeros(LENGTH + 16, np.uint8)])
+        self.data = np.concatenate([data, np.zeros(cover.length + 16, np.uint8)])
         self.lengths = np.diff(self.edges)
 
     def starts(self, size: int, docs: np.ndarray | None = None) -> np.ndarray:
@@ -159,35 +187,36 @@ class Block:
         return np.cumsum(change[:-1]) > 0
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """Documents of LENGTH bytes or more, and a name for the whole text of each."""
-        long = np.flatnonzero(self.lengths >= LENGTH)
+        """Documents of a string's length or more, and a name for the whole text of each."""
+        long = np.flatnonzero(self.lengths >= self.cover.length)
         view = memoryview(self.data)
         names = [hashlib.blake2b(view[self.edges[i] : self.edges[i + 1]], digest_size=8).digest() for i in long.tolist()]
         return long, np.frombuffer(b"".join(names), "<u8").astype(np.uint64)
 
     def heads(self) -> tuple[np.ndarray, np.ndarray]:
-        places, names = head_names(self.data, self.n)
-        inside = self.starts(HEAD)[places] if self.n else np.zeros(0, bool)
+        places, names = head_names(self.data, self.n, self.cover)
+        inside = self.starts(self.cover.head)[places] if self.n else np.zeros(0, bool)
         return places[inside], names[inside]
 
     def remaining(self, heads: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions that reach one of `heads` in time, in the chosen documents, and their prefixes' names."""
+        length = self.cover.length
         change = np.zeros(self.n + 1, np.int32)
-        np.add.at(change, np.maximum(heads - (MODULUS - 1), 0), 1)
+        np.add.at(change, np.maximum(heads - (self.cover.modulus - 1), 0), 1)
         np.add.at(change, heads + 1, -1)
-        live = (np.cumsum(change[:-1]) > 0) & self.starts(LENGTH, docs)
+        live = (np.cumsum(change[:-1]) > 0) & self.starts(length, docs)
         places = np.flatnonzero(live)
         if not len(places):
             return places, np.zeros(0, np.uint64)
-        gaps = np.flatnonzero(np.diff(places) > LENGTH) + 1  # runs further apart than a prefix are named apart
-        names = [prefix_names(self.data[run[0] : run[-1] + LENGTH])[run - run[0]] for run in np.split(places, gaps)]
+        gaps = np.flatnonzero(np.diff(places) > length) + 1  # runs further apart than a prefix are named apart
+        names = [prefix_names(self.data[run[0] : run[-1] + length], length)[run - run[0]] for run in np.split(places, gaps)]
         return places, np.concatenate(names)
 
     def covered(self, starts: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        """A mask of the bytes within LENGTH of a start, or in a document that goes whole."""
+        """A mask of the bytes within a string's length of a start, or in a document that goes whole."""
         change = np.zeros(self.n + 1, np.int64)
         np.add.at(change, starts, 1)
-        np.add.at(change, starts + LENGTH, -1)
+        np.add.at(change, starts + self.cover.length, -1)
         np.add.at(change, self.edges[:-1][whole], 1)
         np.add.at(change, self.edges[1:][whole], -1)
         return np.cumsum(change[:-1]) > 0
@@ -326,18 +355,18 @@ def _with_replies(blocks: DataFrame, *replies: DataFrame) -> DataFrame:
     return blocks.join(gathered, "block", "left").select("block", "payload", "replies")
 
 
-def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_text: bool = False, length: int = LENGTH) -> DataFrame:
     """Every row of `docs` with n_bytes, n_removed, n_spans and kept_sha256 of its whole text.
 
-    Removed is each byte of a 400-byte string that also starts elsewhere, in the same or another
+    Removed is each byte of a string of `length` bytes that also starts elsewhere, in the same or another
     document; strings are judged on the input. Null texts are empty (0 bytes, the empty digest);
-    texts below 400 bytes keep everything; repeated rows lose everything from 400 bytes on, for each
+    texts below `length` keep everything; repeated rows lose everything from `length` on, for each
     stands elsewhere too; an empty table gives an empty result; columns named like the added ones
     are replaced. With `rewrite` the text column holds what is kept (a character cut by a boundary is
     dropped; null stays null) and n_chars, where there is one, its length. `without_text` leaves the
     text column out of the result.
     """
-    spark = docs.sparkSession
+    spark, cover = docs.sparkSession, cover_for(length)
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"loomstone_blocks_{uuid.uuid4().hex}", fresh_path(spark, "blocks")
@@ -349,7 +378,7 @@ def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_te
     def send_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                block = Block(payload, text)
+                block = Block(payload, text, cover)
                 for kind, names in ((WHOLE, block.digests()[1]), (HEADS, block.heads()[1])):
                     if (rows := _send(number, kind, Names(names, ranges))) is not None:
                         yield rows
@@ -358,7 +387,7 @@ def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_te
     drop_garbage(spark)
 
     def resumed(payload: bytes, replies: list[dict] | None) -> tuple[Block, np.ndarray, np.ndarray, Names]:
-        block = Block(payload, text)
+        block = Block(payload, text, cover)
         repeated, out = _copies(block, _of_kind(replies, WHOLE), ranges)
         places, names = block.heads()
         hits = places[Names(names, ranges).repeated(_of_kind(replies, HEADS))]

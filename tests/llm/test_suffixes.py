@@ -5,6 +5,8 @@ import random
 import duckdb
 import pytest
 
+import corpus_pipeline
+
 from loomstone.llm import suffixes as S
 
 
@@ -68,3 +70,28 @@ def test_odd_rows_and_rewrite(odd_documents, no_documents):
             assert len(r["text"]) == r["n_chars"]
             assert len(r["text"].encode()) <= r["n_bytes"] - r["n_removed"]
     assert S.dedup(no_documents).count() == 0
+
+
+def test_covers():
+    for modulus, residues in S.COVERS.items():
+        assert {(a - b) % modulus for a in residues for b in residues} == set(range(modulus))
+    assert S.cover_for(400) == S.Cover() == (400, 273, 128) and S.cover_for(200) == (200, 133, 64)
+
+
+def test_passage_of_51_words(spark):
+    """The pipeline's stage cuts a passage of 51 words that stands in two texts; other lengths as by brute force."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passage = prose(51)
+    assert 200 <= len(passage) < 400
+    texts = [prose(90) + " " + passage + " " + prose(70), prose(33) + " " + passage + " " + prose(80), prose(300), passage[:199] + prose(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["repeated_spans"]
+    after = {r["doc_id"]: r["text"] for r in stage(spark, frame, "").collect()}
+    assert not any(passage in t for t in after.values()) and after[2] == texts[2] and after[3] == texts[3]
+    for length in (70, 136, 199, 200, 233):
+        counts = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+        got = {r["doc_id"]: r["n_removed"] for r in S.dedup(frame, length=length).collect()}
+        for d, t in enumerate(texts):
+            gone = {j for i in range(len(t) - length + 1) if counts[t[i : i + length]] > 1 for j in range(i, i + length)}
+            assert got[d] == len(gone)
