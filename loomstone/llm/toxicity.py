@@ -29,8 +29,15 @@ THRESHOLD = 0.3
 #: Words whose scores a worker remembers; characters of a text scored at a time.
 REMEMBERED, PART = 400_000, 1 << 20
 _BLANK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-#: White space, punctuation and symbols beyond ASCII (none lie past the second plane), and the zero-width space.
-_PARTED = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(128, 0x20000)) if c.isspace() or c == "\u200b" or unicodedata.category(c)[0] in "ZPS") + "]")
+
+
+def _class(low: int, high: int) -> re.Pattern:
+    """White space, punctuation, symbols and the zero-width space in a range of code points."""
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(low, high)) if c.isspace() or c == "\u200b" or unicodedata.category(c)[0] in "ZPS") + "]")
+
+
+#: Those beyond ASCII, plane by plane (no others have any): re looks them up in the first one and goes through a list in the second.
+_PARTED, _HIGH, _PARTED_HIGH = _class(0x80, 0x10000), re.compile("[\U00010000-\U0010ffff]"), _class(0x10000, 0x20000)
 #: A run of more than LONGEST characters is read as pieces of PIECE, each half over the next, so that all of it counts.
 LONGEST, PIECE = 40, 20
 
@@ -40,6 +47,8 @@ def tokens(text: str) -> list[bytes]:
     text = text.lower()
     if not text.isascii():
         text = _PARTED.sub(" ", text)
+        if _HIGH.search(text):
+            text = _HIGH.sub(lambda m: " " if _PARTED_HIGH.match(m[0]) else m[0], text)
     found = text.encode("utf-8", "replace").translate(_BLANK).split()
     if max(map(len, found), default=0) <= LONGEST:
         return found
@@ -78,7 +87,7 @@ def text_parts(text: str) -> Iterator[str]:
 
 
 def _parts_words(char: str) -> bool:
-    return not char.isalnum() if char.isascii() else _PARTED.match(char) is not None
+    return not char.isalnum() if char.isascii() else bool(_PARTED.match(char) or _PARTED_HIGH.match(char))
 
 
 class Model:
