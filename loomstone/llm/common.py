@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +53,11 @@ def drop_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def worker_cache() -> dict:
+    """What a Python worker keeps from task to task. Functions reach it by value, so that their globals don't last."""
+    return sys.modules.setdefault("_loomstone_worker", types.ModuleType("_loomstone_worker")).__dict__.setdefault("kept", {})
+
+
 def attach_small(big: DataFrame, small: DataFrame, keys: list[str], limit: int = 100_000, salts: int = 32) -> DataFrame:
     """Left join of `big` with a keyed `small` side that is expected, but not known, to be small.
 

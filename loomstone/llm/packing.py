@@ -19,21 +19,25 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, worker_cache
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-#: Pieces that one task packs; words and pieces whose ids a task remembers (some 250 MB); characters split at a time.
-SHARD, REMEMBERED, PART = 50_000, 1_500_000, 1 << 20
+#: Pieces that one task packs; runs in a generation of those whose ids a worker knows (some 100 MB); characters split at a time, and learned from.
+SHARD, REMEMBERED, PART, GROUP = 50_000, 600_000, 1 << 20, 1 << 18
 
 
 class WordIds:
-    """Ids of texts for a tokenizer that drops white space: each run between blanks is encoded once.
+    """Ids of texts for a tokenizer that drops white space: runs between blanks are encoded when they are new.
 
     For a byte-pair tokenizer that lower-cases, splits by one pattern and marks the ends of words, runs
     are split by that pattern here, and only pieces not seen before are encoded, many in one call:
     the marked ids tell where each ends. Lower-casing is left to the tokenizer where the two might
     differ (texts not in composed form, and letters whose lower case depends on their place or
-    takes two characters), and so are pieces of anything but letters or ASCII.
+    takes two characters), and so are pieces of anything but letters or ASCII, and all texts that hold
+    one of the tokenizer's special strings.
+
+    What is known is kept in two generations: when the younger is full it becomes the older, and what
+    the older knows moves to the younger on use, so that runs met once are forgotten and others stay.
     """
 
     def __init__(self, tokenizer: str = TOKENIZER) -> None:
@@ -44,10 +48,10 @@ class WordIds:
 
             tokenizer = public_tokenizers.path(tokenizer)
         self._encoder = Tokenizer.from_file(tokenizer)
-        self._encoder.encode_special_tokens = True  # their strings in a text are ordinary text
         self._known: dict[str, bytes] = {"": b""}
-        self._pieces: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         spec = json.loads(self._encoder.to_str())
+        self._special = [t["content"] for t in spec.get("added_tokens", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         lowers = any(n.get("type") == "Lowercase" for n in (spec.get("normalizer") or {}).get("normalizers", []))
         self._split = None
@@ -70,47 +74,94 @@ class WordIds:
         yield text[start:]
 
     def _learn_pieces(self, pieces: list[str]) -> None:
+        """Pieces that the pattern leaves whole, of letters or printable ASCII."""
         ids = np.array(self._plain.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
         ends = ((np.flatnonzero(self._closes[ids]) + 1) * 4).tolist()
         if len(ends) != len(pieces):
             raise ValueError("the tokenizer does not mark the end of every piece")
-        blob, start = ids.tobytes(), 0
+        blob, start, known = ids.tobytes(), 0, self._known
         for piece, end in zip(pieces, ends):
-            self._pieces[piece] = blob[start:end]
+            known[piece] = blob[start:end]
             start = end
 
     def _learn(self, runs: list[str], lowered: bool) -> None:
-        split = {}
+        known, rest = self._known, runs
         if lowered and self._split:
+            new, split, rest = {}, {}, []
             for run in runs:
-                pieces = [run] if run.isalpha() else self._split(run)
-                if all(p.isalpha() or p.isascii() and p.isprintable() for p in pieces):
+                if run.isalpha():  # one piece
+                    new[run] = None
+                    continue
+                pieces = self._split(run)
+                if run.isascii() and run.isprintable() or all(p.isalpha() or p.isascii() and p.isprintable() for p in pieces):
                     split[run] = pieces
-            if new := [p for p in dict.fromkeys(p for pieces in split.values() for p in pieces) if p not in self._pieces]:
-                self._learn_pieces(new)
+                else:
+                    rest.append(run)
+            new.update(dict.fromkeys(p for pieces in split.values() for p in pieces if p not in known))
+            if new:
+                self._learn_pieces(list(new))
             for run, pieces in split.items():
-                self._known[run] = b"".join([self._pieces[p] for p in pieces])
-        if rest := [run for run in runs if run not in split]:
+                known[run] = b"".join([known[p] for p in pieces])
+        if rest:
             for run, found in zip(rest, self._encoder.encode_batch_fast(rest, add_special_tokens=False)):
-                self._known[run] = np.array(found.ids, "<u4").tobytes()
+                known[run] = np.array(found.ids, "<u4").tobytes()
+
+    def _ids_of(self, lists: list[tuple[list[str], bool]]) -> list[bytes]:
+        """The ids of lists of runs; what is new in any of them is learned at once."""
+        if len(self._known) > REMEMBERED:
+            self._older, self._known = self._known, {"": b""}
+        known, older = self._known, self._older
+        found, missing = [], ({}, {})
+        for runs, lowered in lists:
+            got = list(map(known.get, runs))
+            places = [i for i, ids in enumerate(got) if ids is None] if None in got else []
+            left = []
+            for i in places:
+                run = runs[i]
+                if (ids := older.get(run)) is not None:
+                    got[i] = known[run] = ids
+                else:
+                    missing[lowered][run] = None
+                    left.append(i)
+            found.append((got, left))
+        for lowered in (True, False):
+            if new := [run for run in missing[lowered] if run not in known]:
+                self._learn(new, lowered)
+        for (runs, _), (got, left) in zip(lists, found):
+            for i in left:
+                got[i] = known[runs[i]]
+        return [b"".join(got) for got, _ in found]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers, as the tokenizer gives them for it as a whole."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[list[str], bool]] = []
+        owners: list[int] = []
+        size = 0
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if any(special in text for special in self._special):
+                out[k].append(np.array(self._encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            for part in self._parts(text):
+                lowered = part.isascii() or not ("\u03a3" in part or "\u0130" in part) and unicodedata.is_normalized("NFC", part)
+                if lowered and self._split:
+                    part = part.lower()
+                held.append((part.replace("\n", " ").split(" "), lowered))
+                owners.append(k)
+                size += len(part)
+                if size >= GROUP:
+                    for owner, ids in zip(owners, self._ids_of(held)):
+                        out[owner].append(ids)
+                    held, owners, size = [], [], 0
+        if held:
+            for owner, ids in zip(owners, self._ids_of(held)):
+                out[owner].append(ids)
+        return [parts[0] if len(parts) == 1 else b"".join(parts) for parts in out]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        out = []
-        for part in self._parts(text):
-            lowered = part.isascii() or not ("\u03a3" in part or "\u0130" in part) and unicodedata.is_normalized("NFC", part)
-            if lowered and self._split:
-                part = part.lower()
-            runs = part.replace("\n", " ").split(" ")
-            known = self._known
-            if new := [w for w in dict.fromkeys(runs) if w not in known]:
-                if len(known) + len(self._pieces) + 2 * len(new) > REMEMBERED:
-                    self._pieces.clear()
-                    known = self._known = {"": b""}
-                    new = list(dict.fromkeys(w for w in runs if w))
-                self._learn(new, lowered)
-            out.append(b"".join([known[w] for w in runs]))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 def cut_pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -120,13 +171,16 @@ def cut_pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        kept, end = worker_cache(), np.array([end_id], "<u4").tobytes()
+        encoder = kept.get(("word-ids", tokenizer))
+        if encoder is None:
+            encoder = kept["word-ids", tokenizer] = WordIds(tokenizer)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             ids: list[bytes] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                all_ids = encoder.encode(text or "") + end
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
+                all_ids = found + end
                 n = len(all_ids) // 4
                 for start in range(0, n, window):
                     piece = all_ids[4 * start : 4 * (start + window)]

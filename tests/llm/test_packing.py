@@ -11,7 +11,6 @@ from loomstone.llm import packing as P
 
 def whole_ids(texts):
     encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    encoder.encode_special_tokens = True
     return [np.array(encoder.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for t in texts]
 
 

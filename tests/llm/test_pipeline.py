@@ -48,7 +48,6 @@ def test_stages(spark):
     assert sorted(taken) == sorted(collections.Counter(r["doc_id"] for r in mixed.collect()).items()) and mixed.columns == columns
 
     encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    encoder.encode_special_tokens = True
     tokens = sum(len(encoder.encode(r["text"], add_special_tokens=False).ids) + 1 for r in mixed.collect())
     assert sum(r["length"] for r in C.packing(spark, mixed, SF).collect()) == tokens
 
