@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, doc_key, table, words_of
 from .toxicity import labelled_sample
 
-#: Training reads at most this many labelled rows, those of least hash, and of texts up to this length.
-SAMPLE_ROWS, SAMPLE_CHARS = 10_000, 50_000
+#: Training reads at most this many labelled rows, those of least hash, and their whole texts.
+SAMPLE_ROWS = 10_000
 TREES, DEPTH, LEAF, CUTS = 24, 3, 12, 32
 PENALTY, STEPS = 0.002, 600
 THRESHOLD = 0.5
@@ -162,7 +162,7 @@ class RuleEnsemble:
 
 
 def train(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleEnsemble:
-    """Rules and weights; with labels of one class only (or none), the bias alone."""
+    """Rules and weights; with labels of one class only, or fewer rows than two leaves need, the bias alone."""
     y = y.astype(float)
     if len(y) < 2 * LEAF or y.min() == y.max():
         return RuleEnsemble([], math.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
@@ -174,9 +174,8 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleEnsemble:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows: int = SAMPLE_ROWS) -> RuleEnsemble:
     """Train on a bounded sample of the labelled rows that `learn` (over doc_id) admits; numbers alone are collected."""
     names = list(STATISTICS)
-    sample = labelled_sample(docs, labels, "quality", F.lit(True) if learn is None else learn, rows, SAMPLE_CHARS)
-    found = with_statistics(sample).select("doc_id", "label", *names).collect()
-    found = sorted(tuple(r) for r in found)[: 2 * rows]
+    sample = labelled_sample(docs, labels, "quality", F.lit(True) if learn is None else learn, rows)
+    found = sorted(tuple(r) for r in with_statistics(sample).select("doc_id", "label", *names).collect())  # `rows` at most
     return train(np.array([r[2:] for r in found]).reshape(-1, len(names)), np.array([r[1] for r in found]), names)
 
 

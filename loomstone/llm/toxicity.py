@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, table
+from .common import doc_key, materialize, table
 
-#: Training reads at most this many labelled rows, those of least hash, and of texts up to this length: 40 MB.
-SAMPLE_ROWS, SAMPLE_CHARS = 5_000, 8_000
+#: Training reads at most this many labelled rows, those of least hash, and their whole texts.
+SAMPLE_ROWS = 5_000
 BUCKETS, DIM, WINDOW, GRAMS = 1 << 15, 8, 2, (3, 4, 5, 6)
 THRESHOLD = 0.3
 #: Words whose scores a worker remembers; characters of a text scored at a time.
@@ -228,40 +228,86 @@ def _best_cut(margins: np.ndarray, y: np.ndarray) -> float:
     return float((ranked[best] + below) / 2)
 
 
-def train_calibrated(texts: list[str], labels: list[int], threshold: float = THRESHOLD) -> Model:
-    """train() on all rows, its bias moved so that `threshold` falls on the best cut.
+def calibrated(model: Model, margins: np.ndarray, labels: np.ndarray, threshold: float = THRESHOLD) -> Model:
+    """The model with its bias moved so that `threshold` falls on the best cut of margins of unseen texts."""
+    if not len(labels):
+        return model
+    return Model(model.weights, model.bias + float(np.log(threshold / (1 - threshold))) - _best_cut(margins, labels))
+
+
+def train_fold(texts: list[str], labels: list[int], fold: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The model of a fold, and margins and labels of rows it has not seen.
 
-    The cut is found on margins that each half of the rows gets from a model of the other half.
+    Folds 0 and 1 learn from every other row and leave the rest unseen; fold 2 learns from all rows.
+    Halves that lack a class teach nothing about the cut: there, and in fold 2, nothing is left unseen.
     """
-    model, y = train(texts, labels), np.asarray(labels, np.float64)
-    halves = [np.arange(len(y)) % 2 == k for k in (0, 1)]
-    if len(y) < 4 or any(len(set(y[h])) < 2 for h in halves):
-        return model
-    margins = np.zeros(len(y))
-    for half in halves:
-        teach = np.flatnonzero(~half)
-        scorer = Scorer(train([texts[i] for i in teach], y[teach].tolist()))
-        margins[half] = [scorer.margin(texts[i]) for i in np.flatnonzero(half)]
-    return Model(model.weights, model.bias + float(np.log(threshold / (1 - threshold))) - _best_cut(margins, y))
+    y = np.asarray(labels, np.float64)
+    none = np.zeros(0)
+    if fold == 2:
+        return train(texts, labels), none, none
+    unseen = np.arange(len(y)) % 2 == fold
+    if any(len(set(y[half])) < 2 for half in (unseen, ~unseen)):
+        return Model(np.zeros(BUCKETS), 0.0), none, none
+    model = train([texts[i] for i in np.flatnonzero(~unseen)], y[~unseen].tolist())
+    scorer = Scorer(model)
+    return model, np.array([scorer.margin(texts[i]) for i in np.flatnonzero(unseen)]), y[unseen]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """At most `rows` pairs (text, label) with a label, chosen by hash of doc_id among those that `learn` admits.
+def train_calibrated(texts: list[str], labels: list[int], threshold: float = THRESHOLD) -> Model:
+    """All three folds here: the model of all rows, cut where the halves' models part the texts they have not seen."""
+    (_, m0, y0), (_, m1, y1), (model, _, _) = (train_fold(texts, labels, fold) for fold in range(3))
+    return calibrated(model, np.concatenate([m0, m1]), np.concatenate([y0, y1]), threshold)
+
 
-    The chosen ids are fewer than `rows`, so that they are broadcast to the texts.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most `rows` rows (doc_id, text, label): labelled documents that `learn` admits, chosen by hash of doc_id.
+
+    Labels without a document take no place. A doc_id with several texts gives the one of least hash, one
+    with several labels the largest; null texts are left out. The chosen ids, `rows` at most, are broadcast.
     """
     ids = labels.filter(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     ids = ids.groupBy("doc_id").agg(F.max("label").alias("label"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= chars))
-    return texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    ids = ids.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = materialize(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labelled")
+    found = texts.join(F.broadcast(ids), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one"), F.max("label").alias("label"))
+    return one.select("doc_id", F.col("one.text").alias("text"), "label")
+
+
+_FOLD = [("fold", pa.int32()), ("weights", pa.binary()), ("bias", pa.float64()), ("margins", pa.binary()), ("labels", pa.binary())]
+
+
+def _train_folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (fold, text, label), in order of doc_id: one row for each fold."""
+    held: dict[int, tuple[list[str], list[int]]] = {}
+    for batch in batches:
+        for fold, text, label in zip(*(c.to_pylist() for c in batch.columns)):
+            texts, labels = held.setdefault(fold, ([], []))
+            texts.append(text)
+            labels.append(label)
+    for fold in sorted(held):
+        model, margins, seen = train_fold(*held.pop(fold), fold)
+        row = (fold, model.weights.tobytes(), model.bias, margins.tobytes(), seen.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _FOLD)], [n for n, _ in _FOLD])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows: int = SAMPLE_ROWS) -> Model:
-    """Train on a bounded sample of the labelled rows that `learn` (over doc_id) admits."""
-    sample = labelled_sample(docs, labels, "toxic", F.lit(True) if learn is None else learn, rows).collect()
-    sample = sorted(sample, key=lambda r: (r["doc_id"], r["text"]))[: 2 * rows]
-    return train_calibrated([r["text"] for r in sample], [r["label"] for r in sample])
+    """Train on a bounded sample of the labelled rows that `learn` (over doc_id) admits.
+
+    The three folds are trained side by side in tasks of their own (each holds `rows` texts at most);
+    the driver gets their weights and the margins of unseen rows.
+    """
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True) if learn is None else learn, rows)
+    folds = materialize(sample, "toxic-sample").withColumn("fold", F.explode(F.array(*map(F.lit, range(3)))))
+    folds = folds.repartitionByRange(3, "fold").sortWithinPartitions("fold", "doc_id").select("fold", "text", "label")
+    found = folds.mapInArrow(_train_folds, "fold int, weights binary, bias double, margins binary, labels binary").collect()
+    if not found:  # no labelled row at all
+        return train([], [])
+    model = next(Model(np.frombuffer(r["weights"], np.float32), r["bias"]) for r in found if r["fold"] == 2)
+    halves = sorted((r for r in found if r["fold"] < 2), key=lambda r: r["fold"])
+    margins, seen = (np.concatenate([np.frombuffer(r[name]) for r in halves]) for name in ("margins", "labels"))
+    return calibrated(model, margins, seen)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

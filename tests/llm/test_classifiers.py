@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -118,6 +119,56 @@ def test_whole_runs_are_read():
 
 
 def test_sample_is_bounded(spark):
+    """By rows alone: one text of a doc_id, however often it stands; labels without a document take no place."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    sample = T.labelled_sample(docs, labels, "toxic", F.lit(True), 100)
-    assert 0 < sample.count() <= 100
+    assert T.labelled_sample(docs, labels, "toxic", F.lit(True), 100).count() == 100
+    many = spark.range(200_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    many = many.unionAll(spark.createDataFrame([(6, "z" * 300_000), (7, None)], "doc_id long, text string"))
+    marks = spark.createDataFrame([(5, 0, 1), (5, 1, 0), (6, 1, 0), (7, 1, 1), (None, 1, 1)] + [(k, 0, 0) for k in range(100, 400)], "doc_id long, quality int, toxic int")
+    sample = {r["doc_id"]: (r["text"], r["label"]) for r in T.labelled_sample(many, marks, "toxic", F.lit(True), 2).collect()}
+    assert set(sample) == {5, 6} and sample[6] == ("z" * 300_000, 0) and sample[5][1] == 1
+    assert 0 < T.Scorer(T.fit(many, marks.filter("doc_id > 6"))).probability("a text") < 1
+    assert Q.fit(many, marks).rules == []
+
+
+def test_folds_in_tasks_equal_folds_here(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = sorted(T.labelled_sample(docs, labels, "toxic", F.lit(True), 400).collect())
+    want = T.train_calibrated([r["text"] for r in rows], [r["label"] for r in rows])
+    got = T.fit(docs, labels, rows=400)
+    assert np.array_equal(got.weights, want.weights) and got.bias == want.bias
+
+
+def test_plain_softmax():
+    """The collapsed model against the plain one: mean of n-gram vectors of a window, times the softmax's head."""
+    rng = np.random.default_rng(3)
+    vectors, head, bias = rng.normal(size=(T.BUCKETS, T.DIM)), rng.normal(size=(T.DIM, 2)), rng.normal(size=2)
+    scorer = T.Scorer(T.Model(vectors @ (head[:, 1] - head[:, 0]), bias[1] - bias[0]))
+    for text in ("Loom's weft, warp and   shuttle!", "one", "naïve\u00a0weavers " * 30):
+        bags = [np.mean([vectors[i] for i in T.gram_ids(w)], 0) for w in T.tokens(text)]
+        bags += [np.zeros(T.DIM)] * (T.WINDOW - len(bags))
+        odds = [sum(bags[i : i + T.WINDOW]) / T.WINDOW @ head + bias for i in range(len(bags) - T.WINDOW + 1)]
+        want = max(np.exp(o[1]) / np.exp(o).sum() for o in odds)
+        assert abs(scorer.probability(text) - want) < 1e-5
+
+
+def test_plain_statistics(spark, odd_documents):
+    """The query's scores against statistics counted in Python and rules weighed in numpy."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").limit(300).unionByName(odd_documents.select("doc_id", "text"))
+    model, names = Q.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels, ~Q.held_out(F.col("doc_id"))), list(Q.STATISTICS)
+    per = lambda a, b: a / b if b else 0.0
+    for r in Q.score(docs, model).collect():
+        text = r["text"] or ""
+        words, lines, dense = re.findall(r"[^\x20\x09-\x0D]+", text), text.split("\n"), re.sub(r"[\x20\x09-\x0D]", "", text)
+        count = lambda chars: sum(c in chars for c in dense)  # noqa: B023, E731
+        want = {
+            "log_words": np.log1p(len(words)), "word_length": per(len(dense), len(words)), "upper": per(count(Q._UPPER), len(dense)),
+            "digits": per(count("0123456789"), len(dense)), "marks": per(count(Q._MARKS), len(dense)), "bangs": per(count("!"), len(dense)),
+            "bars": per(count("|"), len(words)), "stops": per(count(".,;:!?"), len(words)), "distinct_words": per(len(set(words)), len(words)),
+            "repeated_next": per(sum(a == b for a, b in zip(words, words[1:])), len(words)), "distinct_lines": per(len(set(lines)), len(lines)),
+            "line_words": np.log1p(per(len(words), len(lines))),
+        }
+        assert set(want) == set(names) and all(abs(r[n] - want[n]) < 1e-9 for n in names)
+        total = model.bias + sum(w for w, rule in model.rules if all((r[n] > cut) == above for n, above, cut in rule))
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9
