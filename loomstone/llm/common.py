@@ -45,6 +45,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove what was written to a path of the shared folder and is not read any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def drop_garbage(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of frames that are no longer referenced."""
     import gc
@@ -72,6 +78,33 @@ def attach_small(big: DataFrame, small: DataFrame, keys: list[str], limit: int =
     return spread.join(salted, [*keys, "_salt"], "left").drop("_salt")
 
 
+#: Rows of one key that one task of a join takes.
+HOT = 100_000
+
+
+def join_spread(big: DataFrame, small: DataFrame, keys: list[str], n: str, calm: bool = False) -> DataFrame:
+    """Inner join of `big` with `small`, which has one row for each of `keys` and in `n` the rows of `big` that have it, or more.
+
+    Keys of more than HOT rows are spread over n / HOT tasks. They are broadcast to `big`: they can't be more
+    than its rows / HOT (the sum of n over HOT, where n says more). `calm` says that there are none.
+    """
+    if calm:
+        return big.join(small.drop(n), keys)
+    parts = F.ceil(F.col(n) / HOT).cast("int")
+    crowded = small.filter(F.col(n) > HOT).select(*keys, parts.alias("_parts"))
+    if crowded.isEmpty():
+        return big.join(small.drop(n), keys)
+    dealt = F.when(F.col("_parts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")).otherwise(0)
+    spread = big.join(F.broadcast(crowded), keys, "left").withColumn("_salt", dealt).drop("_parts")
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(n) > HOT, parts - 1).otherwise(0)))).drop(n)
+    return spread.join(salted, [*keys, "_salt"]).drop("_salt")
+
+
+def rows_apart(docs: DataFrame, **columns: Column) -> DataFrame:
+    """`docs` as one column `row`, beside the columns made here, so that no name of `docs` clashes with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), *[column.alias(name) for name, column in columns.items()])
+
+
 def words_of(text: Column) -> Column:
     """The array of words of a text; null gives the empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

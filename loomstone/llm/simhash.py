@@ -1,14 +1,21 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into segments and the Hamming ball of radius 1 is enumerated within each
-segment: 64 flipped values and the fingerprint itself are its keys in the table. Two fingerprints
-at two differing bits or fewer share a key, and two that share a key differ in two bits at most;
-so each fetched match is verified by its complete distance to the least fingerprint under that key,
-and a star to that one links the bucket without listing its pairs. A key has at most 65 members.
+A fingerprint is cut into two segments of 32 bits, and each segment has a table from its value to the
+fingerprints that have it. Two fingerprints that differ in two bits or fewer differ in one bit or none
+in one of the segments: so the Hamming ball of radius 1 is enumerated there, its values are fetched
+from the segment's table, and every match is verified by its complete distance. Flips set bits only:
+of two values one bit apart, the one with the 0 finds the other.
+
+Segments this wide keep buckets small at any size but for texts made to meet in one. A bucket of
+more than BUCKET members is taken out of its table, and all fingerprints that have its value or one
+a bit away are linked another way: each is sent to the 65 values that are a bit or less away from the
+whole of it, and those that meet at a value are two bits apart at most, so that links to the least of
+them (verified, too) connect what has to be.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +24,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, table
+from .common import HOT, attach_small, forget, fresh_path, join_spread, materialize, rows_apart, table
 
-BITS, SEGMENTS, SEED, SHINGLE = 64, 4, 42, 3
+BITS, SEGMENTS, RADIUS, SEED, SHINGLE = 64, 2, 2, 42, 3
+#: Members of a table's bucket that are compared one by one with what asks for it.
+BUCKET = 256
 #: Texts are read in parts of about this many bytes, so that a very long one needs no more memory.
 PART = 1 << 22
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -75,46 +84,78 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp long")
 
 
-def link_stars(prints: DataFrame) -> DataFrame:
-    """Links (a, b) among the distinct fingerprints of `prints` that connect all pairs two bits apart or fewer."""
+def segment_table(prints: DataFrame) -> DataFrame:
+    """(key, fp): the distinct fingerprints of `prints` under each of their segments, whose number is in the key's upper half."""
     width = BITS // SEGMENTS
-    flips = [0]
-    for segment in range(SEGMENTS):
-        flips += [1 << (segment * width + bit) for bit in range(width)]
+    keys = [F.shiftrightunsigned("fp", s * width).bitwiseAND((1 << width) - 1) + F.lit(s << width) for s in range(SEGMENTS)]
+    return prints.select("fp").distinct().select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+
+def fetched(members: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of a segment table: each pair one bit or none apart in a segment, once for each such segment."""
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << bit).cast("long") for bit in range(BITS // SEGMENTS)])
+    probes = members.select(F.col("fp").alias("a"), "key", F.explode(flips).alias("flip")).filter(F.col("key").bitwiseAND(F.col("flip")) == 0)
+    probes = probes.select("a", F.col("key").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("own"))
+    return members.join(probes, "key").filter("not own or a < fp").select("a", F.col("fp").alias("b"))
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+
+
+def _around(prints: DataFrame, bits: range) -> DataFrame:
+    """(fp, key): each fingerprint and what it becomes by a flip of one of `bits`, as keys."""
+    flips = [0, *[1 << bit for bit in bits]]
     keys = F.array(*[F.col("fp").bitwiseXOR(F.lit(x - (1 << 64) if x >> 63 else x).cast("long")) for x in flips])
-    probes = prints.select("fp").distinct().select("fp", F.explode(keys).alias("key"))
-    matched = probes.withColumn("least", F.min("fp").over(Window.partitionBy("key"))).filter("fp <> least")
-    verified = matched.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= 2)
-    return verified.select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+    return prints.select("fp", F.explode(keys).alias("key"))
+
+
+def crowded_links(members: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Links that connect all pairs that meet in the `crowded` buckets of a segment table."""
+    near = members.select("fp", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(x).cast("long")) for x in [0, *(1 << b for b in range(BITS // SEGMENTS))]])).alias("key"))
+    some = attach_small(near, crowded.withColumn("full", F.lit(True)), ["key"]).filter("full").select("fp").distinct()
+    met = _around(some, range(BITS)).withColumn("least", F.min("fp").over(Window.partitionBy("key"))).filter("fp <> least")  # 65 rows a key at most
+    return verified(met.select(F.col("fp").alias("a"), F.col("least").alias("b")))
+
+
+def link_stars(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) among the distinct fingerprints of `prints` that connect all pairs two bits apart or fewer."""
+    members = segment_table(prints)
+    crowded = materialize(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("key"), "crowded")
+    if crowded.isEmpty():
+        return verified(fetched(members)).distinct()
+    calm = attach_small(members, crowded.withColumn("full", F.lit(True)), ["key"]).filter("full is null").select("key", "fp")
+    return verified(fetched(calm)).unionAll(crowded_links(members, crowded)).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the least node reachable from each node of the links (a, b) that isn't a root itself.
 
-    Alternates large-star and small-star steps; each round is written to the shared folder.
+    Alternates large-star and small-star steps until nothing moves; each round is written to the
+    shared folder, and the one before it is removed. Nodes of very many links are spread over tasks.
     """
     spark = links.sparkSession
     path = fresh_path(spark, "stars")
     links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().write.parquet(f"{path}/0")
     state = None
-    for k in range(rounds):
+    for k in itertools.count():
         now = spark.read.schema("u long, v long").parquet(f"{path}/{k}")
         mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if mark == state or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = mark
         both = now.unionAll(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_spread(both, least, ["u"], "n", mark[0] <= HOT).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_spread(large, least, ["u"], "n", mark[0] <= HOT).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small.unionAll(least.select("u", F.col("m").alias("v"))).distinct().write.parquet(f"{path}/{k + 1}")
-    raise RuntimeError("components did not settle")
+        forget(spark, f"{path}/{k}")
 
 
 def rooted(prints: DataFrame) -> DataFrame:
-    """fp, first_id (the least doc_id that has it) and root (the least fingerprint reachable) of distinct fingerprints."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    """Of distinct fingerprints: fp, n (rows that have it), first_id (the least doc_id among them) and root (the least fingerprint reachable)."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     roots = components(link_stars(prints)).withColumnRenamed("node", "fp")
     return materialize(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
 
@@ -122,31 +163,33 @@ def rooted(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable over links) of every row of `docs`.
 
-    Null and empty texts have fingerprint zero and are linked like any other; repeated rows each get
-    their row; a null doc_id never names a component unless the component has no other. Further
-    columns of `docs` are ignored. An empty table gives an empty result.
+    Null and empty texts have fingerprint zero and are linked like any other; the longest are read in
+    parts; repeated rows each get their row; a null doc_id never names a component unless the
+    component has no other. Further columns of `docs` are ignored, whatever their names. An empty
+    table gives an empty result.
     """
     prints = materialize(fingerprints(docs), "simhash")
     found = rooted(prints)
-    named = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = found.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    named = found.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("prints"))
+    by_print = join_spread(found.select("fp", "root", "n"), named, ["root"], "prints").select("fp", "component_id", "n")
+    return join_spread(prints, by_print, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of `docs` for each near-duplicate group, with all its columns.
+    """One row of `docs` for each near-duplicate group, with all its columns, whatever their names.
 
     It is the one of least doc_id (a null one only if there is no other), then of least text hash; of
-    rows equal in both the one whose columns hash least.
+    rows equal in both the one whose columns hash least. An empty table gives an empty result.
     """
     prints = materialize(fingerprints(docs), "simhash")
-    groups = prints.join(rooted(prints).select("fp", "root"), "fp")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_first")
-    keep = groups.groupBy("root").agg(first).select(_key(F.col("_first.doc_id")).alias("_key"), F.col("_first.text_hash").alias("_hash"))
-    rows = docs.withColumns({"_key": _key(F.col("doc_id")), "_hash": F.xxhash64(F.col("text").cast("string"))})
-    kept = rows.join(keep.distinct(), ["_key", "_hash"], "left_semi")
-    order = Window.partitionBy("_key", "_hash").orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*docs.columns)
+    groups = join_spread(prints, rooted(prints).select("fp", "root", "n"), ["fp"], "n")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    keep = groups.groupBy("root").agg(first, F.count("*").alias("n")).select(_key(F.col("first.doc_id")).alias("key"), F.col("first.text_hash").alias("hash"), "n")
+    # two groups share no text, so that a key and a hash stand once here
+    rows = rows_apart(docs, key=_key(F.col("doc_id")), hash=F.xxhash64(F.col("text").cast("string")))
+    kept = join_spread(rows, keep, ["key", "hash"], "n")
+    order = Window.partitionBy("key", "hash").orderBy(F.xxhash64("row"))  # each task sends the first of equal rows alone
+    return kept.withColumn("turn", F.row_number().over(order)).filter("turn = 1").select("row.*")
 
 
 def _key(doc_id: Column) -> Column:

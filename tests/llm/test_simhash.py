@@ -1,8 +1,10 @@
+import random
 import re
 
 import duckdb
 import xxhash
 
+from loomstone.llm import common as C
 from loomstone.llm import simhash as S
 
 
@@ -55,6 +57,55 @@ def test_chain_of_links(spark):
     assert {found.get(p, p) for p in chain} == {0}
 
 
+def test_tables_and_verification(spark):
+    """Balls within segments fetch more than is linked; crowded buckets lose no link; against all pairs."""
+    rng = random.Random(4)
+    prints = {0}
+    for _ in range(12):
+        seed = rng.getrandbits(64)
+        for _ in range(25):
+            prints.add(seed ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) % 2**64)
+    half = rng.getrandbits(32) << 32  # many that share a segment or are a bit away from it
+    for _ in range(120):
+        low = rng.getrandbits(6)
+        prints |= {half | low, half ^ (1 << rng.randrange(32, 64)) | low}
+    prints = sorted(prints)
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
+    frame = spark.createDataFrame(signed, "fp long")
+    root = {p: p for (p,) in signed}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for i, (x,) in enumerate(signed):
+        for (y,) in signed[:i]:
+            if ((x ^ y) % 2**64).bit_count() <= 2:
+                pairs += 1
+                root[max(find(x), find(y))] = min(find(x), find(y))
+    for bucket in (1, 10, 10_000):
+        found = {r["node"]: r["root"] for r in S.components(S.link_stars(frame, bucket)).collect()}
+        assert {p: found.get(p, p) for (p,) in signed} == {p: find(p) for (p,) in signed}
+    candidates = S.fetched(S.segment_table(frame)).selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+    assert S.verified(candidates).count() == pairs < candidates.count()
+
+
+def test_hot_rows_are_spread(spark, monkeypatch):
+    """Keys of more rows than a task takes, rows that all repeat, and columns named like those made inside."""
+    monkeypatch.setattr(C, "HOT", 40)
+    monkeypatch.setattr(S, "HOT", 40)
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, "" if i % 3 == 0 else words if i % 3 == 1 else f"{words} {i}", "a", "b", 1, 2) for i in range(200)] + [(1, words, "a", "b", 1, 2)] * 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, hash string, row int, turn int").repartition(4)
+    want = brute_components([(r[0], brute_print(r[1])) for r in rows])
+    got = [(r["doc_id"], f"{r['fp'] % 2**64:016x}", r["component_id"]) for r in S.near_duplicates(docs).collect()]
+    assert sorted(got) == sorted(want)
+    kept = S.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({w[2] for w in want})
+
+
 def test_parts_do_not_matter(monkeypatch):
     text = ("weft and warp " * 400 + "x" * 900 + " end").encode()
     whole = S.simhash(text)
