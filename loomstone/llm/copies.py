@@ -2,8 +2,9 @@
 
 MinHash signatures in bands find the candidates, whole shingle sets decide. Texts that agree in a
 band share a key; keys that hold the same texts are one key; the texts of each key are read in
-order, and one that is a copy of an earlier one that stayed under that key goes. No key is cut
-short, no set is sampled. Two texts at similarity s share a key but for a chance of (1 - s^6)^32:
+order, and one that is a copy of an earlier one that stayed under that key goes. The texts of a key of
+very many are first read in shares, each in a task of its own, and what stays of all of them together after that.
+No key is cut short, no set is sampled. Two texts at similarity s share a key but for a chance of (1 - s^6)^32:
 0.00006 at 0.8, 0.0000002 at 0.85.
 """
 
@@ -17,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_garbage, materialize
+from .common import drop_garbage, join_spread, materialize, rows_apart
 from .simhash import word_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
+#: Texts of a key that one task reads, as long as there is a point in reading them in shares.
+SHARE = 20_000
 #: Signatures that agree in under this share are not of similar sets (over five deviations from 0.8).
 PLAUSIBLE = 0.62
 _RNG = np.random.Generator(np.random.PCG64(20240517))
@@ -95,13 +98,13 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _going(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, name, signs, found), each key's in order: the names of copies of earlier ones that stay under the key."""
+    """Rows (key, part, name, signs, found), each part's in order: the names of copies of earlier ones that stay in it."""
     key, stay, signs, n = None, [], np.zeros((0, BANDS * ROWS), np.uint8), 0
     for batch in batches:
         gone = []
-        for place, name, sign, found in zip(*(c.to_pylist() for c in batch.columns)):
-            if place != key:
-                key, stay, signs, n = place, [], np.zeros((4, BANDS * ROWS), np.uint8), 0
+        for place, part, name, sign, found in zip(*(c.to_pylist() for c in batch.columns)):
+            if (place, part) != key:
+                key, stay, signs, n = (place, part), [], np.zeros((4, BANDS * ROWS), np.uint8), 0
             sign, found = np.frombuffer(sign, np.uint8), np.frombuffer(found, np.uint64)
             likely = np.flatnonzero((signs[:n] == sign).mean(1) >= PLAUSIBLE) if n else ()
             if any(jaccard(stay[i], found) >= SIMILARITY for i in likely):
@@ -129,13 +132,26 @@ def without_copies(docs: DataFrame) -> DataFrame:
     rows = banded.select("name", F.explode("keys").alias("key"))
     held = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("name").alias("x"), F.bit_xor(F.xxhash64("name")).alias("y")).filter("n > 1")
     # keys of the same texts would ask the same again
-    keys = materialize(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "copies-keys")
-    members = materialize(rows.join(keys, "key", "left_semi"), "copies-members")
+    keys = materialize(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "copies-keys")
+    members = materialize(join_spread(rows, keys.withColumn("rows", F.col("n")), ["key"], "rows"), "copies-members")
     drop_garbage(docs.sparkSession)
     chosen = narrow.join(members.select("name").distinct(), "name", "left_semi").select("doc_id", "name", "text")
     described = materialize(chosen.mapInArrow(_described, "doc_id long, name long, signs binary, found binary"), "copies-sets")
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = members.join(described, "name").repartition(partitions, "key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "name")
-    gone = materialize(asked.select("key", "name", "signs", "found").mapInArrow(_going, "name long").distinct(), "copies-gone")
+    gone = []
+    if not keys.filter(F.col("n") > SHARE).isEmpty():
+        gone.append(_gone(members.filter(F.col("n") > SHARE), described, SHARE))
+        members = members.join(gone[0], "name", "left_anti")
+    gone.append(_gone(members, described))
+    every = gone[0] if len(gone) == 1 else gone[0].unionAll(gone[1]).distinct()
     drop_garbage(docs.sparkSession)
-    return docs.withColumn("_name", F.xxhash64(text)).join(gone.withColumnRenamed("name", "_name"), "_name", "left_anti").select(*docs.columns)
+    rows = rows_apart(docs, name=F.xxhash64(text))
+    return rows.join(every, "name", "left_anti").select("row.*")
+
+
+def _gone(members: DataFrame, described: DataFrame, share: int | None = None) -> DataFrame:
+    """Names of the copies among the members (key, name, n) of each key, or of each share of about `share` members of a key."""
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.lit(0).cast("long") if share is None else F.pmod(F.xxhash64("name", F.lit(1)), F.ceil(F.col("n") / share))
+    asked = members.select("name", "key", part.alias("part")).join(described, "name").repartition(partitions, "key", "part")
+    ordered = asked.sortWithinPartitions("key", "part", F.col("doc_id").asc_nulls_last(), "name")
+    return materialize(ordered.select("key", "part", "name", "signs", "found").mapInArrow(_going, "name long").distinct(), "copies-gone")

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 import corpus_pipeline as C
 from loomstone.llm import copies as K
 
@@ -29,12 +31,15 @@ def test_stage_leaves_no_edited_copies(spark):
         assert any(e < d and similar(grouped[e], s) for e, s in grouped.items())
 
 
-def test_large_family_and_odd_rows(spark, odd_documents, no_documents):
+@pytest.mark.parametrize("share", [20_000, 9])
+def test_large_family_and_odd_rows(spark, odd_documents, no_documents, monkeypatch, share):
+    monkeypatch.setattr(K, "SHARE", share)
     rng = random.Random(3)
     base = [f"w{rng.randrange(3000)}" for _ in range(200)]
     texts = [" ".join(w if rng.random() > 0.02 else "edited" + str(rng.random()) for w in base) for _ in range(120)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, " ".join(base)), (500, "three short words"), (501, ""), (502, None)]
-    kept = {r["doc_id"] for r in K.without_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows = [(*r, 1, "n", "k") for r in rows]
+    kept = {r["doc_id"] for r in K.without_copies(spark.createDataFrame(rows, "doc_id long, text string, row int, name string, key string")).collect()}
     sets = [plain_set(t) for t in texts]
     stay = sorted(k for k in kept if k is not None and k < 500)
     assert {500, 501, 502} <= kept and None not in kept and stay[0] == 0 and len(stay) < 120
