@@ -28,6 +28,8 @@ BUCKETS, DIM, WINDOW, GRAMS = 1 << 15, 8, 2, (3, 4, 5, 6)
 THRESHOLD = 0.3
 #: Words whose scores a worker remembers; characters of a text scored at a time.
 REMEMBERED, PART = 400_000, 1 << 20
+#: Words whose n-grams training looks at together.
+SLICE = 20_000
 _BLANK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -133,7 +135,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 60, warm: int = 12,
     """Fit vectors and softmax together with Adam; deterministic.
 
     The first `warm` epochs average each text's distinct words; the others average the window that
-    is worst at the time. Words of fewer than two training texts only score, they don't teach.
+    is worst at the time.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float64)
@@ -153,23 +155,37 @@ def train(texts: list[str], labels: list[int], epochs: int = 60, warm: int = 12,
     flat = np.frombuffer(every, np.uint16)
     sizes = np.append(np.frombuffer(counts, np.int32), 0).astype(np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    flat_pad = np.append(flat, np.uint16(0))
+    cuts = [*range(0, pad, SLICE), pad]  # words are worked on in slices, so that their n-grams need little memory
 
     def word_numbers(per_bucket: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0.0], np.cumsum(per_bucket[flat])))
-        return (sums[begin[1:]] - sums[begin[:-1]]) / np.maximum(sizes, 1)
-
+        sums = np.zeros(pad + 1)
+        for a, b in zip(cuts, cuts[1:]):
+            sums[a:b] = np.add.reduceat(per_bucket[flat[begin[a] : begin[b]]], begin[a:b] - begin[a])
+        return sums / np.maximum(sizes, 1)
+
+    def spread_over_buckets(per_word: np.ndarray) -> np.ndarray:
+        out = np.zeros(BUCKETS)
+        for a, b in zip(cuts, cuts[1:]):
+            live = a + np.flatnonzero(per_word[a:b])
+            count = sizes[live]
+            at = np.repeat(begin[live] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+            out += np.bincount(flat[at], np.repeat(per_word[live], count), BUCKETS)
+        return out
+
+    n_docs = len(docs)
     # (text, distinct word) pairs for the warm epochs
     distinct = [np.unique(d) for d in docs]
-    pair_doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in distinct])
+    pair_doc = np.repeat(np.arange(n_docs, dtype=np.int32), [len(d) for d in distinct])
     pair_word = np.concatenate(distinct)
-    per_doc = np.bincount(pair_doc, minlength=len(docs)).astype(np.float64)
+    per_doc = np.bincount(pair_doc, minlength=n_docs).astype(np.float64)
     # every window start, text by text
     all_words = np.concatenate(docs)
     lengths = np.array([len(d) for d in docs])
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    starts = np.concatenate([np.arange(f, f + n - WINDOW + 1) for f, n in zip(first, lengths)])
+    starts = np.concatenate([np.arange(f, f + n - WINDOW + 1, dtype=np.int32) for f, n in zip(first, lengths)])
     start_first = np.concatenate(([0], np.cumsum(lengths - WINDOW + 1)[:-1]))
+    start_doc = np.repeat(np.arange(n_docs, dtype=np.int32), lengths - WINDOW + 1)
+    del docs, texts
 
     vectors = rng.normal(0, 0.1, (BUCKETS, DIM))
     head = np.stack([-np.ones(DIM), np.ones(DIM)], 1) * rng.uniform(0.5, 1.0, (DIM, 1))
@@ -181,14 +197,14 @@ def train(texts: list[str], labels: list[int], epochs: int = 60, warm: int = 12,
         direction = head[:, 1] - head[:, 0]
         numbers = word_numbers(vectors @ direction)
         if epoch < warm:
-            margin = np.bincount(pair_doc, numbers[pair_word], len(docs)) / per_doc
+            margin = np.bincount(pair_doc, numbers[pair_word], n_docs) / per_doc
             used_doc, used_word, used_weight = pair_doc, pair_word, 1 / per_doc[pair_doc]
         else:
             windows = sum(numbers[all_words[starts + k]] for k in range(WINDOW)) / WINDOW
             margin = np.maximum.reduceat(windows, start_first)
-            hit = windows == np.repeat(margin, lengths - WINDOW + 1)
-            place = starts[np.flatnonzero(hit)]
-            owner = np.repeat(np.arange(len(docs)), lengths - WINDOW + 1)[hit]
+            hit = np.flatnonzero(windows == margin[start_doc])
+            place = starts[hit]
+            owner = start_doc[hit]
             owner, once = np.unique(owner, return_index=True)
             place = place[once]
             used_doc = np.repeat(owner, WINDOW)
@@ -198,10 +214,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 60, warm: int = 12,
         error = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y) * balance
         # d loss / d (mean vector of a text) = error * direction; spread over its words' n-grams
         share = np.bincount(used_word, error[used_doc] * used_weight, len(sizes)) / np.maximum(sizes, 1)
-        live = np.flatnonzero(share)
-        count = sizes[live]
-        at = np.repeat(begin[live] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        on_bucket = np.bincount(flat_pad[at], np.repeat(share[live], count), BUCKETS) / len(docs)
+        on_bucket = spread_over_buckets(share) / n_docs
         gradients = [
             on_bucket[:, None] * direction[None, :] + decay * vectors,
             np.stack([-(vectors.T @ on_bucket), vectors.T @ on_bucket], 1) + decay * head,
