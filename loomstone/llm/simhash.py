@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import HOT, attach_small, forget, fresh_path, join_spread, materialize, rows_apart, table
 
 BITS, SEGMENTS, RADIUS, SEED, SHINGLE = 64, 2, 2, 42, 3
-#: Members of a table's bucket that are compared one by one with what asks for it.
-BUCKET = 256
+#: Members of a table's bucket that are compared one by one with what asks for it; links in a file.
+BUCKET, LINKS = 256, 1_000_000
 #: Texts are read in parts of about this many bytes, so that a very long one needs no more memory.
 PART = 1 << 22
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -149,7 +149,8 @@ def components(links: DataFrame) -> DataFrame:
         large = join_spread(both, least, ["u"], "n", mark[0] <= HOT).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_spread(large, least, ["u"], "n", mark[0] <= HOT).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small.unionAll(least.select("u", F.col("m").alias("v"))).distinct().write.parquet(f"{path}/{k + 1}")
+        after = small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+        after.coalesce(1 + 2 * mark[0] // LINKS).write.parquet(f"{path}/{k + 1}")
         forget(spark, f"{path}/{k}")
 
 
