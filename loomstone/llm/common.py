@@ -37,11 +37,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends at files that outlive executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,9 +100,10 @@ def join_spread(big: DataFrame, small: DataFrame, keys: list[str], n: str, calm:
     return spread.join(salted, [*keys, "_salt"]).drop("_salt")
 
 
-def rows_apart(docs: DataFrame, **columns: Column) -> DataFrame:
-    """`docs` as one column `row`, beside the columns made here, so that no name of `docs` clashes with theirs."""
-    return docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), *[column.alias(name) for name, column in columns.items()])
+def rows_apart(docs: DataFrame, names: list[str] | None = None, **columns: Column) -> DataFrame:
+    """`docs` (or the columns `names` of it) as one column `row`, beside the columns made here: no name of `docs` clashes with theirs."""
+    row = F.struct(*[F.col(f"`{name}`") for name in (docs.columns if names is None else names)])
+    return docs.select(row.alias("row"), *[column.alias(name) for name, column in columns.items()])
 
 
 def words_of(text: Column) -> Column:

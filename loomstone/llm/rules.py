@@ -2,7 +2,8 @@
 
 Tokens are runs of letters and digits, or of other visible characters. Their unigrams and bigrams are
 hashed into a fixed number of buckets; one multinomial is counted over the whole raw corpus, another
-over its trusted part, and a document's score is the mean log ratio of its n-grams' buckets.
+over its trusted part (documents that pass the base rules and repeat nothing), and a document's score is the
+mean log ratio of its n-grams' buckets.
 """
 
 from __future__ import annotations
@@ -12,15 +13,16 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, WORD, table, words_of
+from .common import SPACE_CHARS, materialize, rows_apart, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"
 #: Buckets of the hashed n-grams (a fixed bound on what is collected) and the least mean log ratio kept.
-BUCKETS, THRESHOLD = 8192, -0.35
-#: A text is trusted if it has this many characters, and few symbols, capitals and exclamation marks.
-TRUSTED_CHARS, TRUSTED_ODD, TRUSTED_NOT = 300, 0.06, "!ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊÎÑÓÔÖÙÚÛÜ"
+BUCKETS, THRESHOLD = 8192, -0.12
+#: A document is trusted if it passes the base rules, has this many words, repeats nothing and marks up little.
+TRUSTED_WORDS, TRUSTED_SYMBOLS = 50, 0.005
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
 
 
 def _with_repeats(rows: DataFrame) -> DataFrame:
@@ -78,9 +80,8 @@ def with_ngrams(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def log_ratios(rows: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """log(trusted / raw) of each bucket, add-one smoothed, over all of `rows` (text, trusted)."""
-    # in order, a text's equal buckets meet in the partial counts one after another
-    grams = with_ngrams(rows, buckets).select("trusted", F.explode(F.sort_array("_grams")).alias("bucket"))
+    """log(trusted / raw) of each bucket, add-one smoothed, over all of `rows` (_grams, trusted)."""
+    grams = rows.select("trusted", F.explode("_grams").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("good")).collect()
     raw, good = [1.0] * buckets, [1.0] * buckets
     for row in counts:  # at most `buckets` rows
@@ -90,39 +91,39 @@ def log_ratios(rows: DataFrame, buckets: int = BUCKETS) -> list[float]:
     return [math.log(g / all_good) - math.log(r / all_raw) for g, r in zip(good, raw)]
 
 
-def with_ratio(rows: DataFrame, ratios: list[float]) -> DataFrame:
-    """`rows` with llr, the mean log ratio of their n-grams; 0 for a text without tokens."""
+def mean_ratio(ratios: list[float]) -> Column:
+    """The mean log ratio of the buckets in _grams; 0 for a text without tokens."""
     known = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
-    rows = with_ngrams(rows, len(ratios))
     total = F.aggregate("_grams", F.lit(0.0), lambda s, b: s + F.get(known, b))
-    return rows.withColumn("llr", F.coalesce(F.try_divide(total, F.size("_grams")), F.lit(0.0))).drop("_grams")
+    return F.coalesce(F.try_divide(total, F.size("_grams")), F.lit(0.0))
 
 
 def trusted() -> Column:
-    """Which texts make up the trusted target: long enough, in lower case mostly, and with few marks.
+    """Which rows of base_counts() make up the trusted target."""
+    sparse = F.col("n_symbols") <= TRUSTED_SYMBOLS * F.col("word_chars")
+    return ~base_failed() & (F.col("n_words") >= TRUSTED_WORDS) & (F.col("n_repeat_words") == 0) & (F.col("n_dup_lines") == 0) & sparse
 
-    It is read off the text alone, with no regard to the counts above, so that counting the n-grams
-    of the corpus doesn't make them twice.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    odd = F.length(text) - F.length(F.translate(text, SYMBOLS + TRUSTED_NOT, ""))
-    return (F.length(text) >= TRUSTED_CHARS) & (odd <= TRUSTED_ODD * F.length(text))
 
+def quality_rules(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, is_trusted: Column | None = None, without_text: bool = False) -> DataFrame:
+    """Every row of `docs` (text, …) with its base counts, base_failed, llr and kept.
 
-def quality_rules(docs: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, is_trusted: Column | None = None) -> DataFrame:
-    """Every row of `docs` (doc_id, text, …) with its base counts, base_failed, llr and kept.
+    Null texts count as empty ones, and texts of fewer than ten words fail; a text of any length is one
+    row's arrays, a few bytes for each of its own; repeated rows are judged alike, and a mean log ratio of
+    just `threshold` is kept; an empty table gives an empty result; columns of `docs` named like the added
+    ones are replaced, all others stay. With no trusted row at all the ratio is flat up to smoothing and
+    the base rules decide. `is_trusted` may name another trusted target, over the columns of base_counts().
 
-    Null texts count as empty ones, and texts of fewer than ten words fail; repeated rows are judged
-    alike; an empty table gives an empty result; columns named like the added ones are replaced. With
-    no trusted row at all the ratio is flat up to smoothing and the base rules decide.
-    `is_trusted` may name another trusted target, over the columns of `docs`.
+    Each text is read once: its counts and buckets are written to the shared folder, counted over all rows
+    there, and judged by what was counted. `without_text` leaves the text column out of the result.
     """
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
-    ratios = log_ratios(docs.select("text", (trusted() if is_trusted is None else is_trusted).alias("trusted")), buckets)
-    scored = with_ratio(base_counts(docs).withColumn("base_failed", base_failed()), ratios)
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    names = [c for c in docs.columns if c not in ADDED and not (without_text and c == "text")]
+    rows = rows_apart(docs, names, text=F.col("text").cast("string"))
+    counted = with_ngrams(base_counts(rows), buckets).drop("text")
+    counted = counted.withColumn("base_failed", base_failed()).withColumn("trusted", trusted() if is_trusted is None else is_trusted)
+    staged = materialize(counted, "rules", compression="zstd")
+    judged = staged.withColumn("llr", mean_ratio(log_ratios(staged, buckets)))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select("row.*", *ADDED)
 
 
 def op2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.drop("text")
+    return quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), without_text=True)

@@ -3,6 +3,7 @@ import math
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from loomstone.llm import rules as R
 
@@ -31,18 +32,36 @@ def test_base_counts(spark, small, odd_documents):
 
 
 def test_ratio_by_hand(spark):
-    texts = ["weave the cloth " * 30, "plain threads and yarn " * 30, "LOUD!! LOUD!! cloth " * 30]
+    texts = ["weave the cloth " * 30, "plain threads and yarn " * 30, "LOUD!!\nLOUD!! cloth\n" * 30, None]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     grams = {r["doc_id"]: r["_grams"] for r in R.with_ngrams(docs, 64).collect()}
-    good = [r["doc_id"] for r in docs.filter(R.trusted()).collect()]
-    assert good == [0, 1]
+    good = [0, 1]
     raw = collections.Counter(b for g in grams.values() for b in g)
     kept = collections.Counter(b for i in good for b in grams[i])
     n_raw, n_kept = 64 + sum(raw.values()), 64 + sum(kept.values())
-    for r in R.quality_rules(docs, buckets=64).collect():
+    judged = R.quality_rules(docs, buckets=64, threshold=-0.3, is_trusted=(F.col("n_dup_lines") == 0) & (F.col("n_words") > 0))
+    for r in judged.collect():
         want = [math.log((1 + kept[b]) / n_kept) - math.log((1 + raw[b]) / n_raw) for b in grams[r["doc_id"]]]
-        assert abs(r["llr"] - sum(want) / len(want)) < 1e-6
-        assert len(grams[r["doc_id"]]) == 2 * len(re.findall(r"\w+|[^\w\s]+", r["text"]))
+        llr = sum(want) / len(want) if want else 0.0
+        assert abs(r["llr"] - llr) < 1e-6 and r["kept"] == (not r["base_failed"] and llr >= -0.3)
+        assert len(grams[r["doc_id"]]) == 2 * len(re.findall(r"\w+|[^\w\s]+", r["text"] or ""))
+
+
+def test_trusted_target(spark):
+    """It passes the base rules, is long enough, repeats nothing and has few symbols."""
+    plain = " ".join(f"word{i}" for i in range(60))
+    texts = [plain, plain[:300], plain + "\nline\nline", " ".join([plain[:60]] * 2) + plain, plain + " ###", plain * 4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in R.base_counts(docs).filter(R.trusted()).collect()] == [0]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "weft and warp " * 9, 7, "x", "y", 1.5)], "doc_id long, text string, row int, _grams string, trusted string, llr double")
+    found = R.quality_rules(docs)
+    assert found.columns == ["doc_id", "text", "row", "_grams", "trusted", *R.ADDED]
+    row = found.first()
+    assert (row["row"], row["_grams"], row["trusted"], row["n_words"]) == (7, "x", "y", 27)
+    assert R.quality_rules(docs, without_text=True).columns == ["doc_id", "row", "_grams", "trusted", *R.ADDED]
 
 
 def test_verdicts(spark):
