@@ -1,5 +1,7 @@
 import html as H
 import re
+import time
+import tracemalloc
 
 import duckdb
 
@@ -45,3 +47,63 @@ def test_host_agrees(spark):
     assert found[6, "http://h.example/6"] == "a short main text, in place" and found[7, None] == found[8, None] == ""
     assert X.extract(rows[6][2]) != "a short main text, in place" and found[None, "http://o.example"] == long.strip()
     assert X.extract_pages(pages).count() == len(rows) and X.extract_pages(pages.limit(0)).count() == 0
+
+
+LONG = "Plain prose goes on here, sentence after sentence, as it does in any article that is worth reading. " * 4
+
+
+def test_without_article_element():
+    """Containers by classes alone: wrappers, prose under a doubted word, captions, and what is beside."""
+    page = f"""<body><div class="layout with-sidebar comment-theme content"><div class="post-12 entry"><h2>Head</h2><p>{LONG}</p>
+    <figure><img src=x><figcaption>A caption, kept</figcaption></figure><div class="related-work search"><p>{LONG}</p></div>
+    <div class="related"><a href=1>One more</a></div><div class=share-bar><a href=2>Share</a></div><p>{LONG}</p></div>
+    <div class="sidebar"><p>{LONG}</p></div><div class="cookie-notice"><p>{LONG[:250]}</p></div>
+    <section id="comments"><article class="comment"><p>{LONG}</p></article></section></div></body>"""
+    one = LONG.strip()
+    assert X.extract(page) == "\n".join(["Head", one, "A caption, kept", one, one])
+
+
+def test_class_names_are_all_read():
+    a, b = (X.parse(f"<div class='{c}'><p>x</p></div>")[0][1].path for c in ("aa bb cc dd1 ee", "aa bb cc ff ee"))
+    assert a != b and a == X.parse("<div class='ee dd22 cc bb aa'>")[0][1].path
+
+
+def test_every_container_votes():
+    page = "<body>" + "".join(f"<div class=c{'abcdefg'[k]}><p>{LONG}</p></div>" for k in range(7)) + "</body>"
+    assert len(X.votes(page)) >= 7
+
+
+def test_host_path_and_a_page_apart():
+    """A page of another layout keeps its article beside a box at its host's path."""
+    path = next(e.path for e in X.parse(f"<body><div class=content><p>{LONG}</p></div></body>")[0] if e.tag == "div")
+    page = f"<body><div class=longread><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class=content><p>{LONG[:350]}</p></div></body>"
+    assert X.extract(page, path) == "\n".join([LONG.strip()] * 3)
+    page = f"<body><div class=talk><p>{LONG}</p></div><div class=content><p>{LONG[:390]}</p></div></body>"
+    assert X.extract(page, path) == LONG[:390].strip()
+
+
+def test_broken_quotes():
+    for quote in "\"'":
+        text = X.extract(f"<div class={quote}a b><p>First words here.</p><p id=x>More words.</p></div>")
+        assert text == "First words here.\nMore words."
+    assert X.extract("<p>a <a href='x>link</a> b, and more of it</p>") == "a link b, and more of it"
+
+
+def test_deep_and_long_pages():
+    """Time and memory by the length of a page, however deep its elements and wrong its tags."""
+    pages = [
+        "<div class=a>" * 100_000 + "<p>" + LONG,
+        "<x-y>" * 50_000 + "</z>" * 50_000 + "<li>" * 50_000 + LONG,
+        "<li><div>" + "<x-y>" * 40_000 + "<li></li>" * 40_000 + LONG,
+        "<article>" * 30_000 + LONG + "</article>" * 30_000,
+        "<p>" + LONG * 5_000,
+        "<a href='" * 20_000 + "<p>" + LONG,
+    ]
+    for page in pages:
+        tracemalloc.start()
+        began = time.time()
+        X.votes(page)
+        assert LONG[:20] in X.extract(page) or "href" in page[:10]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.time() - began < 60 and peak < 200e6
