@@ -6,16 +6,21 @@ a sampled pair starts within both with 128 equal bytes. The steps:
 
 1. Sampled suffixes are named by their first 128 bytes; the names are sorted, range by range, and
    neighbours that are equal mark the names found twice. All other names are discarded.
-2. The remaining suffixes are those that reach a kept name within the first 272 bytes. Sampled or
-   not, they go on one level deeper: they are merged by the name of their 400-byte prefix, sorted
-   range by range, and adjacent prefixes are compared: equal ones are the repeats.
-3. Every position of a repeat covers the 400 bytes from it on.
-
-Only the order of names matters here, never the order of distinct prefixes, so a name is a 64-bit hash
-and not a rank. A block of documents sends each of its names once (a hot passage costs one name a
-block, however many of its documents hold it) and gets one bit back for each. Texts themselves are
-written once, in blocks bucketed by number, and never shuffled. The figures above are op3's; for strings
-of another length the cover and the heads follow from it (cover_for).
+2. The same again, one level deeper, for sampled suffixes whose name was kept: of the 273 strings that
+   hold such a head, those that start within the same 32 bytes have 369 bytes in common, which get
+   a name; again only names found twice are kept.
+3. The remaining suffixes are those that a kept name still admits. Sampled or not, they are merged by the
+   name of their 400-byte prefix, sorted range by range, and adjacent prefixes are compared: equal ones
+   are the repeats. Prefixes are bounded by 400 bytes, so that there is no further level.
+4. Every position of a repeat covers the 400 bytes from it on.
+
+Only equality is asked of adjacent prefixes, never the order of distinct ones, so a name is a hash and
+not a rank: 64 bits in steps 1 and 2, which only sort out, and 128 bits in step 3 and of whole texts, which
+decide. Of 10^14 prefixes two different ones share a name with a chance of 10^-11. A block of documents
+sends each of its names once (a hot passage costs one name a block, however many of its documents hold
+it) and gets one bit back for each. Texts themselves are written once, in blocks bucketed by number, and
+never shuffled. The figures above are op3's; for strings of another length the cover and the heads follow
+from it (cover_for).
 """
 
 from __future__ import annotations
@@ -46,12 +51,17 @@ COVERS = {
     7: (1, 2, 4),
 }
 LEAST_HEAD = 64
-#: Bytes of text in a block (a longer document is a block of its own), and of names in a range.
-BLOCK, RANGE = 1 << 20, 32 << 20
+#: Starts of strings around a sampled suffix that share a name in step 2.
+STARTS = 32
+#: Bytes of text in a block (a longer document is a block of its own), of names in a range, and of text for each task.
+BLOCK, RANGE, TASK = 1 << 20, 32 << 20, 32 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MULTIPLIERS = _RNG.integers(1, 1 << 63, HEAD // 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLD = _RNG.integers(1, 1 << 63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B, _C = (np.uint64(int(x)) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: Odd multipliers of the two halves of a prefix's name.
+_HALVES = ((_A, _B, _C), tuple(_RNG.integers(1, 1 << 63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
 
 
 class Cover(NamedTuple):
@@ -105,40 +115,63 @@ def head_names(data: np.ndarray, n: int, cover: Cover = Cover()) -> tuple[np.nda
     return np.concatenate(places), np.concatenate(names)
 
 
-def prefix_names(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Names of the `length` bytes at every position of `data` that has as many (by doubling)."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    h = _eights(padded)[: len(data) - 7] * _A
-    size = 8
-    while size <= length // 2:
-        h = _doubled(h, size)
-        size *= 2
-    if size < length:
-        h = _doubled(h, length - size)
+def span_names(data: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """Names of the `size` bytes (8 or more) from each of `begin` on."""
+    words, h = _eights(data), np.full(len(begin), size, np.uint64)
+    for k in [*range(0, size - 7, 8), size - 8]:
+        h = (h ^ words[begin + k]) * _FOLD[0]
+        h ^= h >> np.uint64(32)
+        h *= _FOLD[1]
     return _finish(h)
 
 
-def _doubled(h: np.ndarray, step: int) -> np.ndarray:
+def prefix_names(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Names, of two halves, of the `length` bytes at every position of `data` that has as many (by doubling)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = _eights(padded)[: len(data) - 7]
+    out = np.empty((len(data) - length + 1, 2), np.uint64)
+    for half, (a, b, c) in enumerate(_HALVES):
+        h, size = (eights ^ (eights >> np.uint64(29 + half))) * a, 8
+        while size <= length // 2:
+            h = _doubled(h, size, b, c)
+            size *= 2
+        if size < length:
+            h = _doubled(h, length - size, b, c)
+        out[:, half] = _finish(h)
+    return out
+
+
+def _doubled(h: np.ndarray, step: int, b: np.uint64, c: np.uint64) -> np.ndarray:
     tail = h[step:]
-    tail = (tail ^ (tail >> np.uint64(31))) * _B
+    tail = (tail ^ (tail >> np.uint64(31))) * b
     tail += h[: len(h) - step]
     tail ^= tail >> np.uint64(29)
-    tail *= _C
+    tail *= c
     return tail
 
 
+def in_order(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of names (n, or n by 2 halves), and which of them in that order equal the one before."""
+    first = names if names.ndim == 1 else names[:, 0]
+    order = np.argsort(first, kind="stable")
+    same = first[order[1:]] == first[order[:-1]]
+    if names.ndim == 2 and same.any():
+        if (names[order[1:], 1] != names[order[:-1], 1])[same].any():
+            order = np.lexsort((names[:, 1], first))
+        same = (names[order[1:]] == names[order[:-1]]).all(axis=1)
+    return order, np.concatenate([np.zeros(min(1, len(names)), bool), same])
+
+
 class Names:
     """The distinct names of a block in order, cut into ranges of the name space."""
 
     def __init__(self, names: np.ndarray, ranges: int) -> None:
-        self.order = np.argsort(names)
-        ordered = names[self.order]
-        first = np.ones(len(ordered), bool)
-        first[1:] = ordered[1:] != ordered[:-1]
-        self._index = np.cumsum(first) - 1
-        self.distinct = ordered[first]
+        self.order, again = in_order(names)
+        self._index = np.cumsum(~again) - 1
+        self.distinct = names[self.order[~again]]
         self._twice = np.bincount(self._index, minlength=len(self.distinct)) > 1
-        place = ((self.distinct >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        first = self.distinct if names.ndim == 1 else self.distinct[:, 0]
+        place = ((first >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
         self.cuts = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64))
 
     def sent(self) -> Iterator[tuple[int, bytes]]:
@@ -190,24 +223,37 @@ class Block:
         """Documents of a string's length or more, and a name for the whole text of each."""
         long = np.flatnonzero(self.lengths >= self.cover.length)
         view = memoryview(self.data)
-        names = [hashlib.blake2b(view[self.edges[i] : self.edges[i + 1]], digest_size=8).digest() for i in long.tolist()]
-        return long, np.frombuffer(b"".join(names), "<u8").astype(np.uint64)
+        names = [hashlib.blake2b(view[self.edges[i] : self.edges[i + 1]], digest_size=16).digest() for i in long.tolist()]
+        return long, np.frombuffer(b"".join(names), "<u8").astype(np.uint64).reshape(-1, 2)
 
     def heads(self) -> tuple[np.ndarray, np.ndarray]:
         places, names = head_names(self.data, self.n, self.cover)
         inside = self.starts(self.cover.head)[places] if self.n else np.zeros(0, bool)
         return places[inside], names[inside]
 
-    def remaining(self, heads: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that reach one of `heads` in time, in the chosen documents, and their prefixes' names."""
+    def longer(self, heads: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of `heads` and each STARTS starts of strings around it: the first and last of these starts, and the name of what the strings share."""
+        length, modulus, first, last, names = self.cover.length, self.cover.modulus, [], [], []
+        for low in range(0, modulus, STARTS):
+            high = min(low + STARTS, modulus) - 1  # the strings start between `high` and `low` bytes before the head
+            size = length - high + low
+            begin = heads - low
+            begin = begin[begin >= 0]
+            begin = begin[self.starts(size, docs)[begin]]
+            first.append(begin + low - high)
+            last.append(begin)
+            names.append(span_names(self.data, begin, size))
+        return np.concatenate(first), np.concatenate(last), np.concatenate(names)
+
+    def remaining(self, first: np.ndarray, last: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the chosen documents between a `first` and its `last`, and their prefixes' names."""
         length = self.cover.length
         change = np.zeros(self.n + 1, np.int32)
-        np.add.at(change, np.maximum(heads - (self.cover.modulus - 1), 0), 1)
-        np.add.at(change, heads + 1, -1)
-        live = (np.cumsum(change[:-1]) > 0) & self.starts(length, docs)
-        places = np.flatnonzero(live)
+        np.add.at(change, np.maximum(first, 0), 1)
+        np.add.at(change, last + 1, -1)
+        places = np.flatnonzero((np.cumsum(change[:-1]) > 0) & self.starts(length, docs))
         if not len(places):
-            return places, np.zeros(0, np.uint64)
+            return places, np.zeros((0, 2), np.uint64)
         gaps = np.flatnonzero(np.diff(places) > length) + 1  # runs further apart than a prefix are named apart
         names = [prefix_names(self.data[run[0] : run[-1] + length], length)[run - run[0]] for run in np.split(places, gaps)]
         return places, np.concatenate(names)
@@ -254,8 +300,10 @@ def _blocks(docs: DataFrame, column: str) -> DataFrame:
     return docs.mapInArrow(packed, "block long, n_bytes long, payload binary")
 
 
-#: Kinds of names: whole texts, heads of sampled suffixes, prefixes of remaining ones.
-WHOLE, HEADS, PREFIXES = 0, 1, 2
+#: Kinds of names: whole texts, heads of sampled suffixes, what strings around them share, prefixes of remaining suffixes.
+WHOLE, HEADS, LONGER, PREFIXES = range(4)
+#: Halves (of 64 bits) of a name of each kind.
+WIDTH = (2, 1, 1, 2)
 _SENT = "kind int, range int, block long, names binary"
 _REPLY = "block long, kind int, range int, bits binary"
 
@@ -278,17 +326,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key = None
 
     def answered(key: tuple[int, int], held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        width = WIDTH[key[0]]
         names = np.concatenate([np.frombuffer(b, "<u8") for _, b in held])
-        order = np.argsort(names, kind="stable")
-        ordered = names[order]
-        same = ordered[1:] == ordered[:-1]
+        names = names if width == 1 else names.reshape(-1, width)
+        order, again = in_order(names)
         twice, first = np.zeros(len(names), bool), np.ones(len(names), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        first[order[1:][same]] = False
+        twice[order[again]] = True
+        twice[order[:-1][again[1:]]] = True
+        first[order[again]] = False
         rows, at = [], 0
         for block, blob in held:
-            n = len(blob) // 8
+            n = len(blob) // (8 * width)
             if twice[at : at + n].any():
                 bits = np.packbits(twice[at : at + n]).tobytes()
                 if key[0] == WHOLE:
@@ -327,8 +375,7 @@ def _copies(block: Block, replies: list[dict], ranges: int) -> tuple[np.ndarray,
         low, high = found.cuts[k], found.cuts[k + 1]
         first[low:high] = np.unpackbits(np.frombuffer(b, np.uint8), count=high - low).astype(bool)
     leads = np.zeros(len(names), bool)  # the first row of each distinct text of this block
-    _, lead = np.unique(names, return_index=True)
-    leads[lead] = True
+    leads[found.order[np.flatnonzero(np.diff(found._index, prepend=-1))]] = True
     goes = np.zeros(len(names), bool)
     goes[found.order] = first[found._index]
     repeated, out = np.zeros(len(block.lengths), bool), np.zeros(len(block.lengths), bool)
@@ -355,23 +402,27 @@ def _with_replies(blocks: DataFrame, *replies: DataFrame) -> DataFrame:
     return blocks.join(gathered, "block", "left").select("block", "payload", "replies")
 
 
-def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_text: bool = False, length: int = LENGTH) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_text: bool = False, length: int = LENGTH, counts: bool = True) -> DataFrame:
     """Every row of `docs` with n_bytes, n_removed, n_spans and kept_sha256 of its whole text.
 
     Removed is each byte of a string of `length` bytes that also starts elsewhere, in the same or another
     document; strings are judged on the input. Null texts are empty (0 bytes, the empty digest);
     texts below `length` keep everything; repeated rows lose everything from `length` on, for each
     stands elsewhere too; an empty table gives an empty result; columns named like the added ones
-    are replaced. With `rewrite` the text column holds what is kept (a character cut by a boundary is
+    are replaced. A document of any length is a block of its own, of some 30 bytes of memory for each byte.
+    With `rewrite` the text column holds what is kept (a character cut by a boundary is
     dropped; null stays null) and n_chars, where there is one, its length. `without_text` leaves the
-    text column out of the result.
+    text column out of the result; without `counts` nothing is added and all columns stay.
     """
     spark, cover = docs.sparkSession, cover_for(length)
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if counts:
+        docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
     name, path = f"loomstone_blocks_{uuid.uuid4().hex}", fresh_path(spark, "blocks")
     _blocks(docs, text).write.bucketBy(partitions, "block").option("path", path).option("compression", "none").saveAsTable(name)
     blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its name alone: the files are read on
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = int(max(2 * partitions, -(-8 * total // RANGE)))
 
@@ -386,33 +437,50 @@ def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_te
     heads = _ask(blocks.select("block", "payload").mapInArrow(send_heads, _SENT), partitions, "heads")
     drop_garbage(spark)
 
-    def resumed(payload: bytes, replies: list[dict] | None) -> tuple[Block, np.ndarray, np.ndarray, Names]:
-        block = Block(payload, text, cover)
-        repeated, out = _copies(block, _of_kind(replies, WHOLE), ranges)
-        places, names = block.heads()
-        hits = places[Names(names, ranges).repeated(_of_kind(replies, HEADS))]
-        starts, prefixes = block.remaining(hits, ~out)
-        return block, repeated, starts, Names(prefixes, ranges)
+    class Resumed:
+        """A block as far as the replies go."""
+
+        def __init__(self, payload: bytes, replies: list[dict] | None) -> None:
+            self.block = Block(payload, text, cover)
+            self.repeated, out = _copies(self.block, _of_kind(replies, WHOLE), ranges)
+            self.replies, self.docs = replies, ~out
+            places, names = self.block.heads()
+            hits = places[Names(names, ranges).repeated(_of_kind(replies, HEADS))]
+            self.first, self.last, names = self.block.longer(hits, self.docs)
+            self.longer = Names(names, ranges)
+
+        def prefixes(self) -> tuple[np.ndarray, Names]:
+            kept = self.longer.repeated(_of_kind(self.replies, LONGER))
+            starts, names = self.block.remaining(self.first[kept], self.last[kept], self.docs)
+            return starts, Names(names, ranges)
+
+    def send_longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, payload, replies in zip(*(c.to_pylist() for c in batch.columns)):
+                if (rows := _send(number, LONGER, Resumed(payload, replies).longer)) is not None:
+                    yield rows
 
     def send_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload, replies in zip(*(c.to_pylist() for c in batch.columns)):
-                _, _, _, names = resumed(payload, replies)
-                if (rows := _send(number, PREFIXES, names)) is not None:
+                if (rows := _send(number, PREFIXES, Resumed(payload, replies).prefixes()[1])) is not None:
                     yield rows
 
-    prefixes = _ask(_with_replies(blocks, heads).mapInArrow(send_prefixes, _SENT), partitions, "prefixes")
+    longer = _ask(_with_replies(blocks, heads).mapInArrow(send_longer, _SENT), partitions, "longer")
+    drop_garbage(spark)
+    prefixes = _ask(_with_replies(blocks, heads, longer).mapInArrow(send_prefixes, _SENT), partitions, "prefixes")
     drop_garbage(spark)
 
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
-    schema = T.StructType([*(f for f in docs.schema.fields if not (without_text and f.name == text)), *added])
+    schema = T.StructType([*(f for f in docs.schema.fields if not (without_text and f.name == text)), *(added if counts else [])])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, payload, replies in zip(*(c.to_pylist() for c in batch.columns)):
-                block, repeated, starts, names = resumed(payload, replies)
-                found = starts[names.repeated(_of_kind(replies, PREFIXES))]
-                gone = block.covered(found, repeated)
+                resumed = Resumed(payload, replies)
+                block = resumed.block
+                starts, names = resumed.prefixes()
+                gone = block.covered(starts[names.repeated(_of_kind(replies, PREFIXES))], resumed.repeated)
                 removed, spans, digests, kept = [], [], [], []
                 for a, b in zip(block.edges[:-1].tolist(), block.edges[1:].tolist()):
                     mask = gone[a:b]
@@ -432,11 +500,11 @@ def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_te
                     if "n_chars" in rows.column_names:
                         sizes = pa.array([len(t) if p else c for t, p, c in zip(kept, present, rows.column("n_chars").to_pylist())], rows.schema.field("n_chars").type)
                         rows = rows.set_column(rows.column_names.index("n_chars"), rows.schema.field("n_chars"), sizes)
-                for column, values, kind in (("n_bytes", block.lengths, pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", spans, pa.int64()), ("kept_sha256", digests, pa.string())):
+                for column, values, kind in () if not counts else (("n_bytes", block.lengths, pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", spans, pa.int64()), ("kept_sha256", digests, pa.string())):
                     rows = rows.append_column(column, pa.array(values, kind))
                 yield from (rows.drop_columns([text]) if without_text else rows).combine_chunks().to_batches()
 
-    return _with_replies(blocks, heads, prefixes).mapInArrow(finish, schema)
+    return _with_replies(blocks, heads, longer, prefixes).mapInArrow(finish, schema)
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
