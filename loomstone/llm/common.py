@@ -64,14 +64,16 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_loomstone_worker", types.ModuleType("_loomstone_worker")).__dict__.setdefault("kept", {})
 
 
-def attach_small(big: DataFrame, small: DataFrame, keys: list[str], limit: int = 100_000, salts: int = 32) -> DataFrame:
+def attach_small(big: DataFrame, small: DataFrame, keys: list[str], limit: int = 100_000, size: int = 32 << 20, salts: int = 32) -> DataFrame:
     """Left join of `big` with a keyed `small` side that is expected, but not known, to be small.
 
-    Up to `limit` rows (counted here) the small side is broadcast. Beyond that both sides are
-    salted, so that a key holding a third of all rows still spreads over `salts` tasks.
+    Up to `limit` rows and `size` bytes of text (both counted here) the small side is broadcast. Beyond
+    that both sides are salted, so that a key holding a third of all rows still spreads over `salts` tasks.
     Keys must not be null on either side of a match.
     """
-    if small.limit(limit + 1).count() <= limit:
+    texts = [F.coalesce(F.octet_length(F.col(name)), F.lit(0)) for name, kind in small.dtypes if kind == "string"]
+    told = small.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0)).alias("size")).first()
+    if told["n"] <= limit and told["size"] <= size:
         return big.join(F.broadcast(small), keys, "left")
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))

@@ -59,6 +59,9 @@ CLOSES = {
     "option": frozenset(["option"]),
 }
 _SCOPE = frozenset("html body table td th button div section article main ul ol dl blockquote form fieldset".split())
+#: What a start tag doesn't look beyond for what it closes: CLOSES by tag, and _SCOPE for all others.
+_STOPS = {tag: tuple(sorted(_SCOPE - closes)) for tag, closes in CLOSES.items()}
+_ALL_STOPS = tuple(sorted(_SCOPE))
 _LEAF = frozenset("p pre li blockquote h1 h2 h3 h4 h5 h6 td th dt dd figcaption address".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: How many times the text at its host's path a page's own best container has to hold to stand; and if the two are apart, and it is prose of PROSE characters.
@@ -173,8 +176,8 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             continue
         if tag in ("html", "body") and stack.last(tag) >= 0:
             continue
-        closes = CLOSES.get(tag, frozenset())
-        while (k := stack.last("p", *closes)) > stack.last(*(_SCOPE - closes)):
+        closes = CLOSES.get(tag, ())
+        while (k := stack.last("p", *closes)) > 0 and k > stack.last(*_STOPS.get(tag, _ALL_STOPS)):
             stack.pop_to(k, len(blocks))
             if stack.open[-1].tag not in closes and stack.open[-1].tag != "p":
                 break

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import attach_small, materialize, table
+from .common import attach_small, materialize, rows_apart, table
 
 #: Bits of the hash and of its first two histogram levels; the third level has the remaining bits.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -33,7 +33,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
 
     Resharing until no target is above its cap is water filling: the sources are capped in
     ascending order of cap / weight, and one level serves all the others. Sources are the rows
-    here, never documents.
+    here, never documents: one task puts them in order, which it can do for some millions.
     """
     turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (turn % len(weights) + 1).cast("int")).cast("long")
@@ -95,30 +95,42 @@ def _key() -> Column:
     return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
 
 
+ADDED = ["size", "source_size", "target", "taken"]
+
+
+def _taken(docs: DataFrame, names: list[str] | None, weights: tuple[int, ...], share: float, max_repeats: int) -> DataFrame:
+    """The columns `names` of `docs` as one column `row` (without names: doc_id alone, and texts are read once), and the added ones."""
+    parts = {"id": F.col("doc_id"), "source": F.col("source"), "size": size_of(F.col("text")), "_h": row_hash(F.col("doc_id"), F.col("text")), "_k": _key()}
+    rows = rows_apart(docs, names or [], **parts)
+    small = materialize(rows.drop("row"), "mix-rows")
+    plan = mix_plan(small, weights, share, max_repeats).drop("source", "weight")
+    joined = attach_small(rows.drop("id", "source") if names else small.drop("source"), plan, ["_k"])
+    more = F.when(F.col("_h") <= F.col("threshold"), 1).otherwise(0)
+    return joined.withColumn("taken", F.col("size") * (F.col("repeats") + more))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3, narrow: bool = False) -> DataFrame:
     """Every row of `docs` (doc_id, text, source, …) with size, source_size, target and taken.
 
-    Null texts have size 0; a null source is a source of its own, ordered last; rows that are equal
-    in doc_id and text share a hash and are taken together; an empty table gives an empty result.
-    Columns of `docs` named like the added ones are replaced. `narrow` keeps doc_id and the added
-    columns only, and reads the texts once.
+    Null texts have size 0, and a text of any length the words it has; a null source is a source of its own,
+    ordered last; rows that are equal in doc_id and text share a hash and are taken together, and so are ties
+    of hash; an empty table gives an empty result. Columns of `docs` named like the added ones are
+    replaced, all others stay. `narrow` keeps doc_id and the added columns only, and reads the texts once.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "repeats", "threshold", "_k", "_h")
-    rows = docs.withColumns({"size": size_of(F.col("text")), "_h": row_hash(F.col("doc_id"), F.col("text")), "_k": _key()})
-    small = materialize(rows.select("doc_id", "source", "size", "_h", "_k"), "mix-rows")
-    plan = mix_plan(small, weights, share, max_repeats).drop("source", "weight")
-    joined = attach_small(small if narrow else rows, plan, ["_k"])
-    more = F.when(F.col("_h") <= F.col("threshold"), 1).otherwise(0)
-    joined = joined.withColumn("taken", F.col("size") * (F.col("repeats") + more))
-    added = ["size", "source_size", "target", "taken"]
-    return joined.select(*(["doc_id"] if narrow else docs.columns), *added)
+    if narrow:
+        return _taken(docs, None, weights, share, max_repeats).select(F.col("id").alias("doc_id"), *ADDED)
+    names = [c for c in docs.columns if c not in ADDED]
+    return _taken(docs, names, weights, share, max_repeats).select("row.*", *ADDED)
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of `docs` as often as it is taken. Rows without words are never taken."""
-    taken = mix(docs, **options).filter("taken > 0")
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeats: int = 3) -> DataFrame:
+    """The mix itself: each row of `docs` as often as it is taken, with all its columns, whatever their names.
+
+    Rows without words are never taken; null sources, ties and empty tables as in mix().
+    """
+    taken = _taken(docs, docs.columns, weights, share, max_repeats).filter("taken > 0")
     copies = F.sequence(F.lit(1).cast("long"), (F.col("taken") / F.col("size")).cast("long"))
-    return taken.withColumn("_copy", F.explode(copies)).select(*docs.columns)
+    return taken.select("row", F.explode(copies).alias("copy")).select("row.*")
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

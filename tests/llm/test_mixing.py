@@ -48,3 +48,13 @@ def test_mixed_rows(odd_documents):
 def test_empty(no_documents):
     assert mix(no_documents).count() == 0
     assert mixed_rows(no_documents).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Columns named like those made inside, or like the added ones, stay in the mixed rows."""
+    names = ["size", "source_size", "target", "taken", "repeats", "threshold", "_k", "_h", "row", "copy", "id"]
+    docs = spark.createDataFrame([(i, "some words here " * (i % 4), "s" if i % 2 else None, *range(11)) for i in range(30)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    found = mixed_rows(docs)
+    assert found.columns == docs.columns and all(tuple(r)[3:] == tuple(range(11)) for r in found.collect())
+    assert mix(docs).columns == ["doc_id", "text", "source", *names[4:], *names[:4]]
+    assert mix(docs, narrow=True).columns == ["doc_id", *names[:4]]
