@@ -23,24 +23,35 @@ PASSAGE = 200
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the subword model rejects go; it learns from the labels that op10 learns from."""
+    """Documents that the subword model rejects go; it learns from the labels that op10 learns from.
+
+    Null and empty texts get what the bias alone says and stay unless most labelled rows are toxic; long
+    texts are read whole; rows that are equal are judged alike; an empty table stays empty; a table whose rows
+    have no labels teaches nothing, and nothing goes.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
     return without_toxic(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays: of null, empty and wordless texts one, of rows that repeat one, of ties the least doc_id."""
     return one_of_each(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, and of these none with an earlier one of 0.8 of its five-word shingles (Jaccard)."""
+    """One document of each SimHash group stays, and of these none with an earlier one of 0.8 of its five-word shingles (Jaccard).
+
+    Earlier is the one of lesser doc_id, a null one last. Texts without words have no copies but each other.
+    """
     return without_copies(near_duplicates(spark, docs, sf_dir))
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str, length: int = LENGTH) -> DataFrame:
-    """Bytes of strings of `length` bytes that stand twice or more are cut out of the texts; n_chars follows."""
-    return dedup(docs, rewrite=True, length=length).select(*docs.columns)
+    """Bytes of strings of `length` bytes that stand twice or more are cut out of the texts; n_chars follows.
+
+    Every row stays: null texts null, shorter ones as they are, those that repeat as a whole without text.
+    """
+    return dedup(docs, rewrite=True, length=length, counts=False)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +60,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights: each document stays as often as the mix takes it."""
+    """Sources are brought to their target weights: each document stays as often as the mix takes it, three times at most.
+
+    Rows without words (null and empty texts among them) have nothing to take and go; a null source is one of its own.
+    """
     return mixed_rows(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenised documents, each in its place in a window."""
+    """Pieces of tokenised documents, each in its place in a window; null and empty texts are an end id alone."""
     return pack(docs)
 
 
