@@ -52,6 +52,25 @@ def test_stages(spark):
     assert sum(r["length"] for r in C.packing(spark, mixed, SF).collect()) == tokens
 
 
+def test_odd_rows_in_every_stage(spark, odd_documents, no_documents):
+    """Stage by stage on nulls, repeats, ties and long texts, on an empty table, and beside columns of the names used inside."""
+    inside = "size source_size target taken repeats threshold _k _h _key _hash _n row key hash name n_bytes n_removed n_spans kept_sha256 fp root text_hash _salt _parts block payload score".split()
+    more = odd_documents.drop("size").select("*", *[F.lit(i).alias(n) for i, n in enumerate(inside)])
+    for docs in (odd_documents, no_documents, more):
+        for name, stage in C.STAGES[:-1]:
+            after = C.materialize(stage(spark, docs, SF), name)
+            assert after.columns == docs.columns, name
+            if docs is more:
+                assert all(tuple(r[n] for n in inside) == tuple(range(len(inside))) for r in after.collect()), name
+            if name == "repeated_spans":
+                assert after.count() == docs.count()
+            if docs is no_documents:
+                assert after.count() == 0
+            docs = after if docs is not more else docs
+        pieces = C.STAGES[-1][1](spark, docs, SF)
+        assert (pieces.count() == 0) == (docs.count() == 0)
+
+
 def test_run(spark):
     pieces = C.run(spark, SF).collect()
     windows = collections.Counter()
