@@ -153,7 +153,7 @@ def _doubled(h: np.ndarray, step: int, b: np.uint64, c: np.uint64) -> np.ndarray
 def in_order(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of names (n, or n by 2 halves), and which of them in that order equal the one before."""
     first = names if names.ndim == 1 else names[:, 0]
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     same = first[order[1:]] == first[order[:-1]]
     if names.ndim == 2 and same.any():
         if (names[order[1:], 1] != names[order[:-1], 1])[same].any():
@@ -234,12 +234,13 @@ class Block:
     def longer(self, heads: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each of `heads` and each STARTS starts of strings around it: the first and last of these starts, and the name of what the strings share."""
         length, modulus, first, last, names = self.cover.length, self.cover.modulus, [], [], []
+        of = np.searchsorted(self.edges, heads, side="right") - 1
+        heads, of = heads[docs[of]], of[docs[of]]
+        least, most = self.edges[of], self.edges[of + 1]
         for low in range(0, modulus, STARTS):
             high = min(low + STARTS, modulus) - 1  # the strings start between `high` and `low` bytes before the head
             size = length - high + low
-            begin = heads - low
-            begin = begin[begin >= 0]
-            begin = begin[self.starts(size, docs)[begin]]
+            begin = (heads - low)[(heads - low >= least) & (heads - low + size <= most)]
             first.append(begin + low - high)
             last.append(begin)
             names.append(span_names(self.data, begin, size))
