@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees: the session's spark.checkpoint.dir.
 
-    Only where a session names none (a single-machine test) is a temporary folder made.
+    Only where a session on one machine names none (a test) is a temporary folder made.
     """
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='loomstone-')}")
         path = context.getCheckpointDir()
     return path.rstrip("/")
@@ -37,11 +39,27 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends at files that outlive executors."""
+#: Bytes in a file of what is written between steps.
+FILE = 32 << 20
+
+
+def gathered(df: DataFrame, like: DataFrame) -> DataFrame:
+    """`df` in no more partitions than a frame of the size of `like` asks for, or than there are cores, so that it isn't written in splinters.
+
+    The size is the planner's: of a table that is read, its bytes on disk; otherwise at least what there is.
+    """
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // FILE), 1 << 30)))
+
+
+def materialize(df: DataFrame, label: str, compression: str | None = None, like: DataFrame | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends at files that outlive executors.
+
+    With `like` it is written in partitions gathered() by that frame's size.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path, compression=compression)
+    (df if like is None else gathered(df, like)).write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_garbage, join_spread, materialize, rows_apart
+from .common import drop_garbage, gathered, join_spread, materialize, rows_apart
 from .simhash import word_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -128,15 +128,15 @@ def without_copies(docs: DataFrame) -> DataFrame:
     docs = materialize(docs, "copies-docs")
     text = F.col("text").cast("string")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("name"), text.cast("binary").alias("text"))
-    banded = materialize(narrow.select("name", "text").mapInArrow(_banded, "name long, keys array<long>"), "copies-bands")
+    banded = materialize(narrow.select("name", "text").mapInArrow(_banded, "name long, keys array<long>"), "copies-bands", like=docs)
     rows = banded.select("name", F.explode("keys").alias("key"))
     held = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("name").alias("x"), F.bit_xor(F.xxhash64("name")).alias("y")).filter("n > 1")
     # keys of the same texts would ask the same again
-    keys = materialize(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "copies-keys")
-    members = materialize(join_spread(rows, keys.withColumn("rows", F.col("n")), ["key"], "rows"), "copies-members")
+    keys = materialize(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "copies-keys", like=banded)
+    members = materialize(join_spread(rows, keys.withColumn("rows", F.col("n")), ["key"], "rows"), "copies-members", like=banded)
     drop_garbage(docs.sparkSession)
     chosen = narrow.join(members.select("name").distinct(), "name", "left_semi").select("doc_id", "name", "text")
-    described = materialize(chosen.mapInArrow(_described, "doc_id long, name long, signs binary, found binary"), "copies-sets")
+    described = materialize(chosen.mapInArrow(_described, "doc_id long, name long, signs binary, found binary"), "copies-sets", like=docs)
     gone = []
     if not keys.filter(F.col("n") > SHARE).isEmpty():
         gone.append(_gone(members.filter(F.col("n") > SHARE), described, SHARE))
@@ -145,7 +145,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     every = gone[0] if len(gone) == 1 else gone[0].unionAll(gone[1]).distinct()
     drop_garbage(docs.sparkSession)
     rows = rows_apart(docs, name=F.xxhash64(text))
-    return rows.join(every, "name", "left_anti").select("row.*")
+    return gathered(rows.join(every, "name", "left_anti").select("row.*"), docs)
 
 
 def _gone(members: DataFrame, described: DataFrame, share: int | None = None) -> DataFrame:
@@ -154,4 +154,4 @@ def _gone(members: DataFrame, described: DataFrame, share: int | None = None) ->
     part = F.lit(0).cast("long") if share is None else F.pmod(F.xxhash64("name", F.lit(1)), F.ceil(F.col("n") / share))
     asked = members.select("name", "key", part.alias("part")).join(described, "name").repartition(partitions, "key", "part")
     ordered = asked.sortWithinPartitions("key", "part", F.col("doc_id").asc_nulls_last(), "name")
-    return materialize(ordered.select("key", "part", "name", "signs", "found").mapInArrow(_going, "name long").distinct(), "copies-gone")
+    return materialize(ordered.select("key", "part", "name", "signs", "found").mapInArrow(_going, "name long").distinct(), "copies-gone", like=members)

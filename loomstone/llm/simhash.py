@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT, attach_small, forget, fresh_path, join_spread, materialize, rows_apart, table
+from .common import HOT, attach_small, forget, fresh_path, gathered, join_spread, materialize, rows_apart, table
 
 BITS, SEGMENTS, RADIUS, SEED, SHINGLE = 64, 2, 2, 42, 3
 #: Members of a table's bucket that are compared one by one with what asks for it; links in a file.
@@ -128,15 +128,17 @@ def link_stars(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return verified(fetched(calm)).unionAll(crowded_links(members, crowded)).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """(node, root): the least node reachable from each node of the links (a, b) that isn't a root itself.
 
     Alternates large-star and small-star steps until nothing moves; each round is written to the
-    shared folder, and the one before it is removed. Nodes of very many links are spread over tasks.
+    shared folder, and the one before it is removed. Nodes of very many links are spread over tasks. `like`
+    is a frame of about as many bytes as the links, at least.
     """
     spark = links.sparkSession
     path = fresh_path(spark, "stars")
-    links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().write.parquet(f"{path}/0")
+    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    (links if like is None else gathered(links, like)).write.parquet(f"{path}/0")
     state = None
     for k in itertools.count():
         now = spark.read.schema("u long, v long").parquet(f"{path}/{k}")
@@ -157,8 +159,8 @@ def components(links: DataFrame) -> DataFrame:
 def rooted(prints: DataFrame) -> DataFrame:
     """Of distinct fingerprints: fp, n (rows that have it), first_id (the least doc_id among them) and root (the least fingerprint reachable)."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    roots = components(link_stars(prints)).withColumnRenamed("node", "fp")
-    return materialize(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
+    roots = components(link_stars(prints), prints).withColumnRenamed("node", "fp")
+    return materialize(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots", like=prints)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = rows_apart(docs, key=_key(F.col("doc_id")), hash=F.xxhash64(F.col("text").cast("string")))
     kept = join_spread(rows, keep, ["key", "hash"], "n")
     order = Window.partitionBy("key", "hash").orderBy(F.xxhash64("row"))  # each task sends the first of equal rows alone
-    return kept.withColumn("turn", F.row_number().over(order)).filter("turn = 1").select("row.*")
+    return gathered(kept.withColumn("turn", F.row_number().over(order)).filter("turn = 1").select("row.*"), docs)
 
 
 def _key(doc_id: Column) -> Column:

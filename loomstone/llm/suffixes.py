@@ -389,10 +389,10 @@ def _of_kind(replies: list[dict] | None, kind: int) -> list[dict]:
     return [r for r in replies or [] if r["kind"] == kind]
 
 
-def _ask(sent: DataFrame, partitions: int, label: str) -> DataFrame:
-    """Compare names range by range; the replies are written, so that later steps don't ask again."""
+def _ask(sent: DataFrame, partitions: int, label: str, like: DataFrame) -> DataFrame:
+    """Compare names range by range; the replies, of fewer bytes than `like`, are written, so that later steps don't ask again."""
     dealt = sent.repartition(partitions, "kind", "range").sortWithinPartitions("kind", "range", "block")
-    return materialize(dealt.mapInArrow(_compare, _REPLY), label)
+    return materialize(dealt.mapInArrow(_compare, _REPLY), label, like=like)
 
 
 def _with_replies(blocks: DataFrame, *replies: DataFrame) -> DataFrame:
@@ -421,9 +421,11 @@ def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_te
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
     name, path = f"loomstone_blocks_{uuid.uuid4().hex}", fresh_path(spark, "blocks")
-    _blocks(docs, text).write.bucketBy(partitions, "block").option("path", path).option("compression", "none").saveAsTable(name)
+    # dealt out before, so that a bucket is one file
+    _blocks(docs, text).repartition(partitions, "block").write.bucketBy(partitions, "block").option("path", path).option("compression", "none").saveAsTable(name)
     blocks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its name alone: the files are read on
+    drop_garbage(spark)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = int(max(2 * partitions, -(-8 * total // RANGE)))
 
@@ -435,7 +437,7 @@ def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_te
                     if (rows := _send(number, kind, Names(names, ranges))) is not None:
                         yield rows
 
-    heads = _ask(blocks.select("block", "payload").mapInArrow(send_heads, _SENT), partitions, "heads")
+    heads = _ask(blocks.select("block", "payload").mapInArrow(send_heads, _SENT), partitions, "heads", blocks)
     drop_garbage(spark)
 
     class Resumed:
@@ -467,9 +469,9 @@ def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_te
                 if (rows := _send(number, PREFIXES, Resumed(payload, replies).prefixes()[1])) is not None:
                     yield rows
 
-    longer = _ask(_with_replies(blocks, heads).mapInArrow(send_longer, _SENT), partitions, "longer")
+    longer = _ask(_with_replies(blocks, heads).mapInArrow(send_longer, _SENT), partitions, "longer", blocks)
     drop_garbage(spark)
-    prefixes = _ask(_with_replies(blocks, heads, longer).mapInArrow(send_prefixes, _SENT), partitions, "prefixes")
+    prefixes = _ask(_with_replies(blocks, heads, longer).mapInArrow(send_prefixes, _SENT), partitions, "prefixes", blocks)
     drop_garbage(spark)
 
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
