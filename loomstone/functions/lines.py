@@ -24,9 +24,9 @@ def count_lines(text: Column) -> Column:
     return (newlines + F.when((text != "") & ~F.endswith(text, F.lit("\n")), 1).otherwise(0)).cast("int")
 
 
-def readable(content: Column) -> Column:
-    """Whether a blob is small enough and has no zero byte near its start."""
-    return (F.length(content) <= MAX_BLOB) & (F.position(F.lit(b"\x00"), F.substring(content, 1, SNIFFED)) == 0)
+def readable(content: Column, most: int = MAX_BLOB, sniffed: int = SNIFFED) -> Column:
+    """Whether a blob has `most` bytes at most and no zero byte among its first `sniffed`."""
+    return (F.length(content) <= most) & (F.position(F.lit(b"\x00"), F.substring(content, 1, sniffed)) == 0)
 
 
 def language_of(path: Column) -> Column:

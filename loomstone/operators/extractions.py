@@ -46,10 +46,11 @@ def birth_death(views: Views, top: int = 30) -> DataFrame:
     return rows.withColumn("net", F.col("born") - F.col("died")).orderBy(F.desc("died"), "bucket").limit(top)
 
 
-def long_lived(views: Views, top: int = 20) -> DataFrame:
-    """Files of the latest snapshot by lines that survive from the first bucket."""
+def long_lived(views: Views, top: int = 20, anywhere: bool = False) -> DataFrame:
+    """Files of the latest snapshot, or of `anywhere` in the history, by lines that survive from the first bucket."""
     first = views["line_births"].agg(F.min("birth_bucket").alias("birth_bucket"))
-    rows = views["line_births"].join(F.broadcast(first), "birth_bucket", "left_semi").join(head_paths(views), "path", "left_semi")
+    rows = views["line_births"].join(F.broadcast(first), "birth_bucket", "left_semi")
+    rows = rows if anywhere else rows.join(head_paths(views), "path", "left_semi")
     rows = rows.groupBy("path").agg(F.min("birth_bucket").alias("earliest"), F.count("*").alias("lines_from_that_day"))
     return rows.orderBy(F.desc("lines_from_that_day"), "path").limit(top)
 
