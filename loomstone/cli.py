@@ -16,8 +16,10 @@ from .sinks.render import FORMATS, default_format, export, show
 from .sources import git, warehouse
 
 
-def session() -> SparkSession:
-    spark = SparkSession.builder.appName("loomstone").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+def session(memory: str | None = None) -> SparkSession:
+    """A session whose driver (and, on one machine, all tasks) keeps to `memory`; larger inputs spill."""
+    builder = SparkSession.builder.appName("loomstone").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
+    spark = (builder.config("spark.driver.memory", memory) if memory else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -27,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--repo", default=".")
     top.add_argument("--warehouse", help="folder of the tables (by default one per repository)")
     top.add_argument("--bucket", help="commit, day, week, month or tag; taken when indexing")
+    top.add_argument("--memory", help="the session's memory, as in 2g")
     commands = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, *, filtered: bool = True) -> argparse.ArgumentParser:
@@ -76,6 +79,16 @@ def ask(args: argparse.Namespace, views: dict[str, DataFrame]) -> DataFrame:
     }[args.command]()
 
 
+def bring_up_to_date(spark: SparkSession, repo: str, folder: str, bucket: str | None, anew: bool) -> None:
+    """Index what the tables at `folder` lack, or all of it where there are none, where that won't do, and where `anew` asks for it."""
+    if os.path.isdir(f"{folder}/commits") and not anew:
+        known = warehouse.load(spark, folder)
+        if git.can_update(spark, repo, known, bucket):
+            warehouse.update(*git.index(spark, repo, bucket, known=known), folder)
+            return
+    warehouse.save(git.index(spark, repo, bucket)[0], folder)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     try:
@@ -83,9 +96,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if git.is_shallow(repo):
             print("warning: a shallow clone has only part of the history", file=sys.stderr)
         folder = args.warehouse or warehouse.warehouse_path(repo)
-        spark = spark or session()
+        spark = spark or session(args.memory)
         if args.command in ("index", "reindex") or not os.path.isdir(f"{folder}/commits"):
-            warehouse.save(git.index(spark, repo, args.bucket), folder)
+            bring_up_to_date(spark, repo, folder, args.bucket, args.command == "reindex")
         if args.command in ("index", "reindex"):
             return 0
         views = warehouse.load(spark, folder)

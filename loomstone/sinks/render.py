@@ -66,10 +66,10 @@ def show(frame: DataFrame, how: str) -> Iterator[str]:
     return render(frame.columns, (tuple(r) for r in frame.toLocalIterator()), how)
 
 
-def export(views: dict[str, DataFrame], folder: str, how: str = "parquet", single: bool = True) -> list[str]:
-    """Every table to `folder`/name: Parquet, CSV with a header, or JSON as one array a file.
+def export(views: dict[str, DataFrame], folder: str, how: str = "parquet", single: bool = False) -> list[str]:
+    """Every table to `folder`/name: Parquet, CSV with a header, or JSON by line, written in parallel.
 
-    With `single` each table is one part; without, it is written in parallel (JSON then by line).
+    With `single` each table is one part, and JSON one array: for tables that one task can hold.
     """
     paths = []
     for name, frame in views.items():
@@ -80,7 +80,7 @@ def export(views: dict[str, DataFrame], folder: str, how: str = "parquet", singl
         elif how == "csv":
             rows.write.mode("overwrite").option("header", True).csv(path)
         elif how == "json" and not single:
-            rows.write.mode("overwrite").json(path)
+            rows.write.mode("overwrite").json(path, ignoreNullFields=False)
         elif how == "json":
             told = F.to_json(F.struct(*[F.col(c) for c in frame.columns]), {"ignoreNullFields": "false"})
             array = frame.select(told.alias("value")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))

@@ -10,7 +10,7 @@ import os
 import re
 import subprocess
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 from ..functions import buckets as B
 from ..functions import lines as L
 from ..functions import parse as P
+from ..operators import extractions as X
 from ..operators import fold
-from ..plans.model import TABLES
+from ..plans.model import SCHEMA_VERSION, TABLES
+from ..shared import written
 from .scan import scan
 
 _RAW = re.compile(r"^:(\d+) (\d+) ([0-9a-f]+) ([0-9a-f]+) ([A-Z])\d*\t(.*)$")
 _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 _LINK = "160000"
+SETTINGS = ".loomstone.toml"
 
 
 def git(repo: str, *args: str, stdin: bytes | None = None) -> bytes:
@@ -55,14 +58,18 @@ def is_shallow(repo: str) -> bool:
     return git(repo, "rev-parse", "--is-shallow-repository").strip() == b"true"
 
 
-def _listed(spark: SparkSession, shas: list[str], parts: int) -> DataFrame:
-    rows = spark.createDataFrame([(i, sha) for i, sha in enumerate(shas)], "walk long, sha string")
-    return rows.repartitionByRange(max(1, min(parts, len(shas) or 1)), "walk")
+def revisions(spark: SparkSession, repo: str, *chosen: str) -> DataFrame:
+    """walk and sha of the chosen revisions, oldest first: names alone, what they hold is read by tasks."""
+    table = pa.table({"sha": pa.array(git(repo, "rev-list", "--reverse", *chosen).decode().split(), pa.string())})
+    return spark.createDataFrame(table.add_column(0, "walk", pa.array(range(table.num_rows), pa.int64())))
 
 
-def walk(spark: SparkSession, repo: str, parts: int = 64) -> DataFrame:
-    """walk, sha, parents, raw and mapped identities, committer time and message, oldest first, over all refs."""
-    shas = git(repo, "rev-list", "--all", "HEAD").decode().split()[::-1]
+def _dealt(revisions: DataFrame, parts: int) -> DataFrame:
+    return revisions.select("walk", "sha").repartitionByRange(parts, "walk")
+
+
+def walk(repo: str, listed: DataFrame, parts: int = 64) -> DataFrame:
+    """walk, sha, parents, raw and mapped identities, committer time and message of the `listed` revisions."""
     fields = ["%H", "%P", "%an", "%ae", "%aN", "%aE", "%cn", "%ce", "%cN", "%cE", "%ct", "%B"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +86,7 @@ def walk(spark: SparkSession, repo: str, parts: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, _WALK_NAMES)
 
     schema = "walk long, sha string, parents array<string>, an string, ae string, man string, mae string, cn string, ce string, mcn string, mce string, at long, message string"
-    return _listed(spark, shas, parts).mapInArrow(read, schema)
+    return _dealt(listed, parts).mapInArrow(read, schema)
 
 
 _WALK_NAMES = ["walk", "sha", "parents", "an", "ae", "man", "mae", "cn", "ce", "mcn", "mce", "at", "message"]
@@ -120,10 +127,8 @@ def parse_patch(text: str) -> Iterator[tuple[str, str, str | None, int, int, lis
     yield from files()
 
 
-def diffs(spark: SparkSession, repo: str, parts: int = 64) -> DataFrame:
-    """One row per changed file of each non-merge commit of HEAD's history, with its hunks."""
-    shas = git(repo, "rev-list", "--no-merges", "HEAD").decode().split()[::-1]
-
+def diffs(repo: str, listed: DataFrame, parts: int = 64) -> DataFrame:
+    """One row per changed file of each of the `listed` revisions, with its hunks."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = ["--stdin", "--root", "-r", "--raw", "-p", "-M50%", "-U0", "--diff-algorithm=histogram", "--no-ext-diff", "--no-textconv", "--no-color", "--full-index"]
         for batch in batches:
@@ -138,7 +143,7 @@ def diffs(spark: SparkSession, repo: str, parts: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(hunks, hunk)], ["sha", "path", "prev_path", "added", "deleted", "hunks"])
 
     schema = "sha string, path string, prev_path string, added int, deleted int, hunks array<struct<old_start:int,old_len:int,new_start:int,new_len:int>>"
-    return _listed(spark, shas, parts).mapInArrow(read, schema)
+    return _dealt(listed, parts).mapInArrow(read, schema)
 
 
 def snapshots(repo: str, sampled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,60 +204,98 @@ def config(repo: str, name: str) -> dict:
         return {}
 
 
-def index(spark: SparkSession, path: str, size: str | None = None, settings: str = ".loomstone.toml") -> dict[str, DataFrame]:
-    """The twelve tables of a repository. `size` beats the repository's default_bucket, which beats the choice by size."""
+#: Files whose change may change what was read of older commits.
+IDENTITIES = (".mailmap", ".git-blame-ignore-revs")
+#: Tables that only ever grow.
+APPENDED = ("commit_parents", "commit_trailers", "hunks", "file_churn")
+
+
+def _size(size: str | None, options: dict, commits: int, tags: DataFrame) -> str:
+    """`size` beats the repository's default_bucket, which beats the choice by size; tag needs a tag."""
+    size = B.parse_size(size) or B.parse_size(options.get("default_bucket")) or B.auto_size(commits)
+    return "month" if size == "tag" and not tags.limit(1).count() else size
+
+
+def can_update(spark: SparkSession, path: str, known: Mapping[str, DataFrame], size: str | None = None, settings: str = SETTINGS) -> bool:
+    """Whether index() of `known` tables reads only what is new: same bucket, identities and settings, and no indexed commit or diff has gone."""
+    repo = open_repository(path)
+    meta = {r["key"]: r["value"] for r in known["meta"].collect()}
+    every = revisions(spark, repo, "--all", "HEAD")
+    lost = X.unseen(known["commits"].select("sha"), every)
+    lost = lost.unionAll(X.unseen(known["file_churn"].select("sha").distinct(), revisions(spark, repo, "HEAD")))
+    if not meta.get("indexed_head_sha") or lost.limit(1).count():
+        return False
+    if git(repo, "diff", "--name-only", meta["indexed_head_sha"], "--", settings, *IDENTITIES).strip():
+        return False
+    return meta.get("bucket_size") == _size(size, config(repo, settings), every.count(), tag_rows(spark, repo)).capitalize()
+
+
+def index(spark: SparkSession, path: str, size: str | None = None, settings: str = SETTINGS, known: Mapping[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The twelve tables of a repository, and of those that only grow the new rows.
+
+    With the tables `known` of an earlier index (for which can_update() holds) only commits, diffs and
+    snapshots that these lack are read; ids of authors stay, new ones follow.
+    """
     repo = open_repository(path)
     options = config(repo, settings)
-    commits = walk(spark, repo).cache()
-    size = B.parse_size(size) or B.parse_size(options.get("default_bucket")) or B.auto_size(commits.count())
+    every = revisions(spark, repo, "--all", "HEAD")
     tags = tag_rows(spark, repo)
+    size = _size(size, options, every.count(), tags)
+    old = {name: spark.createDataFrame([], schema) for name, schema in TABLES.items()} if known is None else known
+    # written, not cached: a cached plan would stand in for the same plan over what is indexed by then
+    commits = written(walk(repo, every if known is None else X.unseen(every, known["commits"])), "walk")
 
     aliases = [(a["canonical_name"], a["canonical_email"], r["name"], r["email"]) for a in options.get("alias", []) for r in a.get("raw", [])]
-    known = spark.createDataFrame(aliases, "to_name string, to_email string, name string, email string")
+    named_as = spark.createDataFrame(aliases, "to_name string, to_email string, name string, email string")
     trailing = P.trailers(commits.select("walk", "sha", "message"))
     authored = commits.select("walk", F.lit(0).alias("n"), "sha", F.lit("author").alias("role"), F.col("an").alias("name"), F.col("ae").alias("email"), F.col("man").alias("m"), F.col("mae").alias("e"))
     committed = commits.select("walk", F.lit(1), "sha", F.lit("committer"), "cn", "ce", "mcn", "mce")
     others = trailing.select("walk", F.lit(2), "sha", "role", "name", "email", F.col("name").alias("m"), F.col("email").alias("e"))
-    people = authored.union(committed).union(others).join(F.broadcast(known), ["name", "email"], "left")
+    people = authored.union(committed).union(others).join(named_as, ["name", "email"], "left")
     people = people.withColumns({"canonical_name": F.coalesce("to_name", "m"), "canonical_email": F.coalesce("to_email", "e")})
-    first = people.groupBy("canonical_name", "canonical_email").agg(F.min(F.struct("walk", "n")).alias("seen"))
-    authors = first.withColumn("id", F.row_number().over(Window.orderBy("seen", "canonical_name", "canonical_email")).cast("long"))
-    authors = authors.select("id", "canonical_name", "canonical_email").cache()
-    named = people.join(authors, ["canonical_name", "canonical_email"])
+    canonical = ["canonical_name", "canonical_email"]
+    first = people.groupBy(*canonical).agg(F.min(F.struct("walk", "n")).alias("seen")).join(old["authors"], canonical, "left_anti")
+    ids = F.row_number().over(Window.orderBy("seen", *canonical)) + (old["authors"].agg(F.max("id")).first()[0] or 0)
+    authors = written(old["authors"].unionByName(first.withColumn("id", ids.cast("long")).select("id", *canonical)), "authors")
+    named = people.join(authors, canonical)
     raw = named.groupBy(F.col("name").alias("raw_name"), F.col("email").alias("raw_email")).agg(F.min_by("id", F.struct("walk", "n")).alias("author_id"))
+    raw = old["author_aliases"].unionByName(raw.join(old["author_aliases"], ["raw_name", "raw_email"], "left_anti"))
     of_role = lambda role, column: named.filter(F.col("role") == role).select("sha", F.col("id").alias(column))
 
     ignored: DataFrame = spark.createDataFrame([], "sha string")
     if os.path.exists(listed := os.path.join(repo, ".git-blame-ignore-revs")):
         with open(listed, encoding="utf-8", errors="replace") as f:
             ignored = P.ignored_revisions(spark.createDataFrame([(x,) for x in f.read().split("\n")], "value string"))
-    kinds = P.commit_type(F.col("message"))
-    rows = commits.withColumn("t", kinds).withColumn("authored_at", F.col("at")).withColumn("is_merge", F.size("parents") > 1)
-    if size == "tag" and tags.count():
-        rows = B.tag_buckets(rows, tags)
-    else:
-        size = "month" if size == "tag" else size
-        rows = rows.withColumn("bucket_key", B.bucket_key(F.col("authored_at"), size))
-    rows = B.sample_flags(rows, "walk")
-    rows = rows.join(F.broadcast(ignored.withColumn("ignored_blame", F.lit(True))), "sha", "left").withColumn("ignored_blame", F.coalesce("ignored_blame", F.lit(False)))
+    rows = commits.withColumns({"t": P.commit_type(F.col("message")), "authored_at": F.col("at"), "is_merge": F.size("parents") > 1})
+    rows = rows.join(ignored.distinct().withColumn("ignored_blame", F.lit(True)), "sha", "left").withColumn("ignored_blame", F.coalesce("ignored_blame", F.lit(False)))
     rows = rows.join(of_role("author", "author_id"), "sha").join(of_role("committer", "committer_id"), "sha")
-    table = rows.select("sha", "author_id", "committer_id", "authored_at", "is_merge", "is_sampled", "bucket_key", "t.msg_type", "t.is_breaking", "t.is_revert", "ignored_blame").cache()
-
-    changed = diffs(spark, repo).cache()
-    hunks = changed.select("sha", "path", "prev_path", F.explode("hunks").alias("h")).select("sha", "path", "prev_path", "h.*")
-    stats, funcs = snapshots(repo, table.filter("is_sampled"))
-    head = commits.orderBy(F.desc("walk")).limit(1).select("sha")
-    return {
-        "meta": spark.createDataFrame([("schema_version", "1"), ("bucket_size", size.capitalize())], "key string, value string").union(head.select(F.lit("indexed_head_sha"), "sha")),
+    told = ["sha", "author_id", "committer_id", "authored_at", "is_merge", "msg_type", "is_breaking", "is_revert", "ignored_blame"]
+    rows = rows.select("walk", *told[:5], "t.msg_type", "t.is_breaking", "t.is_revert", told[-1])
+    rows = rows.unionByName(old["commits"].select(*told).join(every, "sha"))
+    rows = B.tag_buckets(rows, tags) if size == "tag" else rows.withColumn("bucket_key", B.bucket_key(F.col("authored_at"), size))
+    table = written(B.sample_flags(rows, "walk").select(*TABLES["commits"].names), "commits")
+
+    told = old["file_churn"].select("sha").unionAll(old["hunks"].select("sha")).distinct()
+    changed = written(diffs(repo, X.unseen(revisions(spark, repo, "--no-merges", "HEAD"), told)), "diffs")
+    sampled = table.filter("is_sampled").select("sha")
+    stats, funcs = snapshots(repo, sampled.join(old["commits"].filter("is_sampled"), "sha", "left_anti"))
+    kept = lambda name: old[name].join(sampled, "sha", "left_semi")
+    added = {
+        "commit_parents": commits.select("sha", F.posexplode("parents").alias("parent_idx", "parent_sha")).select("sha", "parent_sha", "parent_idx"),
+        "commit_trailers": named.filter("n = 2").select("sha", F.col("id").alias("author_id"), "role"),
+        "hunks": changed.select("sha", "path", "prev_path", F.explode("hunks").alias("h")).select("sha", "path", "prev_path", "h.*"),
+        "file_churn": changed.select("sha", "path", "added", "deleted"),
+    }
+    tables = {name: old[name].unionByName(more) for name, more in added.items()}
+    last = every.orderBy(F.desc("walk")).limit(1).select(F.lit("indexed_head_sha"), "sha")
+    tables |= {
+        "meta": spark.createDataFrame([("schema_version", SCHEMA_VERSION), ("bucket_size", size.capitalize())], TABLES["meta"]).union(last),
         "authors": authors,
         "author_aliases": raw.select("author_id", "raw_name", "raw_email"),
         "commits": table,
-        "commit_parents": commits.select("sha", F.posexplode("parents").alias("parent_idx", "parent_sha")).select("sha", "parent_sha", "parent_idx"),
-        "commit_trailers": named.filter("n = 2").select("sha", F.col("id").alias("author_id"), "role"),
         "tags": tags,
-        "hunks": hunks,
-        "file_churn": changed.select("sha", "path", "added", "deleted"),
-        "file_stats": stats,
-        "funcs": funcs,
-        "line_births": fold.line_births(hunks, table),
+        "file_stats": kept("file_stats").unionByName(stats),
+        "funcs": kept("funcs").unionByName(funcs),
+        "line_births": fold.line_births(tables["hunks"], table),
     }
+    return tables, added

@@ -23,6 +23,28 @@ def save(views: dict[str, DataFrame], path: str) -> None:
         frame.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def update(views: dict[str, DataFrame], added: dict[str, DataFrame], path: str) -> None:
+    """Bring the tables at `path` up to date: rows `added` join those of their table, all other tables are replaced.
+
+    Everything is written beside the tables first, and then moved: what is asked meanwhile is the old index.
+    """
+    spark = next(iter(views.values())).sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = f"{path}/_update"
+    files.delete(place(beside), True)
+    save({name: added.get(name, frame) for name, frame in views.items()}, beside)
+    for name in TABLES:
+        target = place(f"{path}/{name}")
+        if name in added:
+            for status in files.globStatus(place(f"{beside}/{name}/part-*")):
+                files.rename(status.getPath(), place(target, status.getPath().getName()))
+        else:
+            files.delete(target, True)
+            files.rename(place(f"{beside}/{name}"), target)
+    files.delete(place(beside), True)
+
+
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables at `path`; those of another version are refused, never deleted."""
     views = {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}

@@ -21,8 +21,11 @@ def test_render():
 def test_export(spark, tmp_path):
     frame = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
     for how in ("parquet", "csv", "json"):
-        export({"t": frame}, f"{tmp_path}/{how}", how)
+        export({"t": frame}, f"{tmp_path}/{how}", how, single=True)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/parquet/t").collect())) == [(1, "a"), (2, None)]
+    export({"t": frame}, f"{tmp_path}/lines", "json")
+    lines = sorted(r["value"] for r in spark.read.text(f"{tmp_path}/lines/t").collect())
+    assert [json.loads(x) for x in lines] == [{"x": 1, "y": "a"}, {"x": 2, "y": None}]
     assert json.loads(spark.read.text(f"{tmp_path}/json/t").first()["value"]) == [{"x": 1, "y": "a"}, {"x": 2, "y": None}]
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv/t").count() == 2
 

@@ -47,7 +47,7 @@ def repository(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def views(spark, repository):
-    return G.index(spark, repository)
+    return G.index(spark, repository)[0]
 
 
 def test_tables(views):
