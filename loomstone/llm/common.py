@@ -77,6 +77,15 @@ def drop_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system, for workers outlive their tasks. Nothing happens where the C library can't."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def worker_cache() -> dict:
     """What a Python worker keeps from task to task. Functions reach it by value, so that their globals don't last."""
     return sys.modules.setdefault("_loomstone_worker", types.ModuleType("_loomstone_worker")).__dict__.setdefault("kept", {})

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, materialize, table
+from .common import doc_key, give_back, materialize, table
 
 #: Training reads at most this many labelled rows, those of least hash, and their whole texts.
 SAMPLE_ROWS = 5_000
@@ -303,6 +303,7 @@ def _train_folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, margins, seen = train_fold(*held.pop(fold), fold)
         row = (fold, model.weights.tobytes(), model.bias, margins.tobytes(), seen.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, _FOLD)], [n for n, _ in _FOLD])
+    give_back()
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows: int = SAMPLE_ROWS) -> Model:
@@ -334,6 +335,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = [scorer.probability(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
+        del scorer
+        give_back()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(scored, "doc_id long, score double")
@@ -349,6 +352,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
         for batch in batches:
             mask = pa.array([scorer.probability(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_())
             yield batch.filter(mask)
+        del scorer
+        give_back()
 
     return docs.mapInArrow(kept, schema)
 
