@@ -1,3 +1,4 @@
+import random
 import re
 
 import duckdb
@@ -61,3 +62,36 @@ def test_many_false_anchors():
     text = "licensed under " * 3000 + "the Apache License, Version 2.0"
     found = L.scan(text.encode(), L.compile_templates(L.TEMPLATES))
     assert found[5] == "apache,apache-2.0-notice" and found[2] == found[3] == 6001
+
+
+def resolved(template, rng):
+    """Wording that a template stands for: optional parts left out at random, replaceable ones replaced, one of several words taken."""
+    while "<<opt>>" in template:
+        template = re.sub(r"<<opt>>((?:(?!<<opt>>).)*?)<</opt>>", lambda m: m[1] if rng.random() < 0.5 else " ", template)
+    template = re.sub(r"<<var:(\d+)>>", lambda m: " ".join(["Some"] * rng.randint(0, int(m[1]))), template)
+    return re.sub(r"\{([^}]*)\}", lambda m: rng.choice(m[1].split("|")), template).split()
+
+
+def test_every_template_accepts_its_wording_and_no_other():
+    rng, compiled = random.Random(11), L.compile_templates(L.TEMPLATES)
+    for label, template in L.TEMPLATES.items():
+        automaton = L.Automaton(template)
+        for _ in range(4):
+            wording = resolved(template, rng)
+            text = "(c) 2024 Loom, Inc.\n" + ", ".join(w.upper() if rng.random() < 0.2 else w for w in wording) + ".\n\nint main() {}"
+            found = L.scan(text.encode(), compiled)
+            assert label in found[5].split(",") and found[6] == (1.0 if automaton.mandatory >= L.TEXT_WORDS else max(found[6], 0.75)), label
+            anchor = next(i for i in range(len(wording)) if [w.encode() for w in wording[i : i + len(automaton.anchor)]] == automaton.anchor)
+            changed = [*wording[: anchor + 1], "notably", *wording[anchor + 1 :]] if len(automaton.anchor) > 1 else None
+            assert changed is None or label not in L.scan(" ".join(changed).encode(), compiled)[5].split(",")
+
+
+def test_scores():
+    compiled = L.compile_templates(L.TEMPLATES)
+    score = lambda text: L.scan(text.encode(), compiled)[6]
+    mit = " ".join(resolved(L.TEMPLATES["mit-text"], random.Random(1)))
+    assert score(mit) == 1 and score("released under the MIT license") == 0.75 and score("see the MIT license") == 0.5 and score("weft") == score("") == 0
+    mpl = " ".join(resolved(L.TEMPLATES["mpl-2.0-header"], random.Random(1)))
+    assert score(mpl) == 1 and score(mpl.replace("mozilla org", "example org")) == 0.25
+    long = L.scan((mit + " ").encode() * 2000, compiled)
+    assert long[0] == 2000 * len(mit.split()) and long[6] == 1
