@@ -4,19 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.buckets import bucket_key, sample_flags
+from ..functions.buckets import bucket_key, sample_flags, seconds_of
 from ..shared import written
 
 
-def seconds_of(stamp: Column) -> Column:
-    """Unix seconds of a zoneless timestamp, whatever the session's time zone."""
-    days = F.datediff(F.to_date(stamp), F.lit("1970-01-01").cast("date"))
-    return (days.cast("long") * 86400 + F.hour(stamp) * 3600 + F.minute(stamp) * 60 + F.second(stamp)).cast("long")
-
-
 class Indexed(Mapping):
     """Tables by name, each written to the shared folder when it is first asked for, and read from there afterwards."""
 

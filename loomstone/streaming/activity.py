@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions.buckets import seconds_of
+from ..shared import shared_path
 
 #: Window specs; weeks begin on Monday.
 WINDOWS = {"day": ("1 day", None, None), "week": ("7 days", "7 days", "4 days")}
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='loomstone-')}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def event_buckets(events: DataFrame, size: str = "day", late: str = "2 days") -> DataFrame:
     """Events and their value per tumbling window and type; a streaming or a batch frame."""
     length, slide, offset = WINDOWS[size]
@@ -29,8 +29,30 @@ def event_buckets(events: DataFrame, size: str = "day", late: str = "2 days") ->
     return rows.select(F.unix_timestamp("w.start").alias("bucket_start"), "event_type", "events", "large")
 
 
-def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and return what its sink holds."""
+def _totals(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One user's new events on top of the totals so far."""
+    events, total, first, last = state.get if state.exists else (0, 0.0, None, None)
+    for frame in frames:
+        events, total = events + len(frame), total + float(frame["value"].fillna(0).sum())
+        low, high = int(frame["at"].min()), int(frame["at"].max())
+        first, last = low if first is None else min(first, low), high if last is None else max(last, high)
+    state.update((events, total, first, last))
+    yield pd.DataFrame({"user_id": [key[0]], "events": [events], "total": [total], "first_at": [first], "last_at": [last]})
+
+
+def user_totals(events: DataFrame) -> DataFrame:
+    """Per user the events, their value, and unix seconds of the first and the last, kept as state: a stream of updates."""
+    rows = events.select("user_id", "value", seconds_of(F.col("ts")).alias("at"))
+    schema = "user_id long, events long, total double, first_at long, last_at long"
+    return rows.groupBy("user_id").applyInPandasWithState(_totals, schema, "events long, total double, first_at long, last_at long", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_end(stream: DataFrame, mode: str = "complete", on_progress: Callable[[dict[str, Any]], None] | None = None) -> DataFrame:
+    """Run a stream over all that is there now and return what its sink holds: everything, in complete mode, else all that was told.
+
+    In append and update mode events later than the watermark are dropped. `on_progress` is told of each batch:
+    its number, its rows, the rows dropped for being late, and the rows held as state.
+    """
     spark = stream.sparkSession
     name = f"activity_{uuid.uuid4().hex}"
     query = (
@@ -38,6 +60,12 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
         .option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    for batch in query.recentProgress if on_progress else ():
+        states = batch["stateOperators"]
+        on_progress({
+            "batch": batch["batchId"], "rows": batch["numInputRows"], "late": sum(s["numRowsDroppedByWatermark"] for s in states),
+            "state": sum(s["numRowsTotal"] for s in states),
+        })
     return spark.table(name)
 
 
