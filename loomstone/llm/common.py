@@ -6,7 +6,9 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,12 @@ def drop_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def rows_of(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """The rows of a batch, made into Python values a few at a time."""
+    for start in range(0, batch.num_rows, step):
+        yield from zip(*(column.slice(start, step).to_pylist() for column in batch.columns))
+
+
 def give_back() -> None:
     """Return what a worker has freed to the system, for workers outlive their tasks. Nothing happens where the C library can't."""
     import ctypes

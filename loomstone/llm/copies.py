@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_garbage, gathered, give_back, join_spread, materialize, rows_apart
+from .common import drop_garbage, gathered, give_back, join_spread, materialize, rows_apart, rows_of
 from .simhash import word_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -88,7 +88,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(name, band_keys(signature(found)).tolist()) for name, text in zip(*(c.to_pylist() for c in batch.columns)) if len(found := shingles(text))]
+        rows = [(name, band_keys(signature(found)).tolist()) for name, text in rows_of(batch) if len(found := shingles(text))]
         names, keys = zip(*rows) if rows else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["name", "keys"])
 
@@ -110,7 +110,7 @@ def _going(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, stay, signs, n = None, [], np.zeros((0, BANDS * ROWS), np.uint8), 0
     for batch in batches:
         gone = []
-        for place, part, name, sign, found in zip(*(c.to_pylist() for c in batch.columns)):
+        for place, part, name, sign, found in rows_of(batch):
             if (place, part) != key:
                 key, stay, signs, n = (place, part), [], np.zeros((4, BANDS * ROWS), np.uint8), 0
             sign, found = np.frombuffer(sign, np.uint8), np.frombuffer(found, np.uint32)
@@ -138,15 +138,15 @@ def without_copies(docs: DataFrame) -> DataFrame:
     docs = materialize(docs, "copies-docs")
     text = F.col("text").cast("string")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("name"), text.cast("binary").alias("text"))
-    banded = materialize(narrow.select("name", "text").mapInArrow(_banded, "name long, keys array<long>"), "copies-bands", like=docs)
+    banded = materialize(narrow.select("name", "text").mapInArrow(_banded, "name long, keys array<long>"), "copies-bands")
     rows = banded.select("name", F.explode("keys").alias("key"))
     held = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("name").alias("x"), F.bit_xor(F.xxhash64("name")).alias("y")).filter("n > 1")
     # keys of the same texts would ask the same again
     keys = materialize(held.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "copies-keys", like=banded)
-    members = materialize(join_spread(rows, keys.withColumn("rows", F.col("n")), ["key"], "rows"), "copies-members", like=banded)
+    members = materialize(join_spread(rows, keys.withColumn("rows", F.col("n")), ["key"], "rows"), "copies-members")
     drop_garbage(docs.sparkSession)
     chosen = narrow.join(members.select("name").distinct(), "name", "left_semi").select("doc_id", "name", "text")
-    described = materialize(chosen.mapInArrow(_described, "doc_id long, name long, signs binary, found binary"), "copies-sets", like=docs)
+    described = materialize(chosen.mapInArrow(_described, "doc_id long, name long, signs binary, found binary"), "copies-sets")
     gone = []
     if not keys.filter(F.col("n") > SHARE).isEmpty():
         gone.append(_gone(members.filter(F.col("n") > SHARE), described, SHARE))

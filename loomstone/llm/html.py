@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_small, materialize, table
+from .common import attach_small, materialize, rows_of, table
 
 #: Comments, sections, tags with whole attributes, declarations; then tags whose quotes don't close, to their first ">".
 _MARKUP = re.compile(
@@ -297,7 +297,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for batch in batches:
             # weights are whole numbers, so that the sum of a host does not depend on its order
             sums: dict[tuple[str, str], int] = {}
-            for host, page in zip(*(c.to_pylist() for c in batch.columns)):
+            for host, page in rows_of(batch):
                 for path, weight in votes(page):
                     sums[host, path] = sums.get((host, path), 0) + round(weight * 1000)
             columns = ([h for h, _ in sums], [p for _, p in sums], list(sums.values()))
@@ -319,7 +319,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page, path) for page, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [extract(page, path) for _, _, page, path in rows_of(batch)]
             arrays = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 

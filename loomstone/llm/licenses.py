@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import rows_of, table
 
 #: Phrases and their labels as the contract fixes them.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -273,7 +273,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> Da
         span = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))
         names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
         for batch in batches:
-            rows = [scan(t, compiled) for t in batch.column(1).to_pylist()]
+            rows = [scan(row[1], compiled) for row in rows_of(batch)]
             columns = list(zip(*rows)) if rows else [()] * 8
             spans = pa.array([[{"label": a, "first": b, "end": c} for a, b, c in s] for s in columns[7]], span)
             arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types)), spans]

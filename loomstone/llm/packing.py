@@ -179,8 +179,10 @@ def cut_pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             ids: list[bytes] = []
-            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
-                all_ids = found + end
+            parts = (batch.slice(start, 1000) for start in range(0, batch.num_rows, 1000))
+            found = (pair for part in parts for pair in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1).to_pylist())))
+            for doc_id, own_ids in found:
+                all_ids = own_ids + end
                 n = len(all_ids) // 4
                 for start in range(0, n, window):
                     piece = all_ids[4 * start : 4 * (start + window)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import rows_of, table
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 48_271)
@@ -196,7 +196,7 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     schema = pa.schema(_FIELDS)
     for batch in batches:
-        for place, lent, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for place, lent, doc_id, text in rows_of(batch):
             if held is not None and held[0] != place:
                 held = None
             if held is not None and lent and held[1]:

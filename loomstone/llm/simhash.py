@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT, attach_small, forget, fresh_path, gathered, join_spread, materialize, rows_apart, table
+from .common import HOT, attach_small, forget, fresh_path, gathered, join_spread, materialize, rows_apart, rows_of, table
 
 BITS, SEGMENTS, RADIUS, SEED, SHINGLE = 64, 2, 2, 42, 3
 #: Members of a table's bucket that are compared one by one with what asks for it; links in a file.
@@ -73,7 +73,7 @@ def simhash(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([simhash(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+        found = np.array([simhash(row[1]) for row in rows_of(batch)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
 
 

@@ -26,17 +26,20 @@ from it (cover_for).
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_garbage, fresh_path, materialize, table
+from .common import drop_garbage, fresh_path, give_back, materialize, rows_of, table
 
 LENGTH = 400
 #: A perfect difference cover: every residue but 0 is the difference of exactly one pair (fixed values).
@@ -269,26 +272,50 @@ class Block:
         return np.cumsum(change[:-1]) > 0
 
 
-def _blocks(docs: DataFrame, column: str) -> DataFrame:
-    """(block, n_bytes, payload): the rows of `docs` as compressed Arrow streams of about BLOCK bytes of text."""
+def buckets_of(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    """The buckets that Spark puts these longs (0 or more) in: its Murmur3 hash, seed 42, modulo their count."""
+    u = lambda x: x & np.uint64(0xFFFFFFFF)
+    turn = lambda x, r: u(x << np.uint64(r)) | (x >> np.uint64(32 - r))
+    h = np.full(len(numbers), 42, np.uint64)
+    for half in (u(numbers), numbers >> np.uint64(32)):
+        h = u(turn(h ^ u(turn(u(half * np.uint64(0xCC9E2D51)), 15) * np.uint64(0x1B873593)), 13) * np.uint64(5) + np.uint64(0xE6546B64))
+    h ^= np.uint64(8)
+    h = u((h ^ (h >> np.uint64(16))) * np.uint64(0x85EBCA6B))
+    h = u((h ^ (h >> np.uint64(13))) * np.uint64(0xC2B2AE35))
+    h ^= h >> np.uint64(16)
+    return h.astype(np.uint32).view(np.int32).astype(np.int64) % buckets
+
+
+def numbers_in(bucket: int, buckets: int) -> Iterator[int]:
+    """Random numbers that Spark puts in one bucket."""
+    while True:
+        drawn = np.frombuffer(os.urandom(32 * buckets), np.uint64) >> np.uint64(1)
+        yield from drawn[buckets_of(drawn, buckets) == bucket].tolist()
+
+
+def _blocks(docs: DataFrame, column: str, buckets: int) -> DataFrame:
+    """(block, n_bytes, payload): the rows of `docs` as compressed Arrow streams of about BLOCK bytes of text.
+
+    The blocks of a task have numbers of one bucket, so that each task writes one file.
+    """
     at = docs.columns.index(column)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
+        numbers = numbers_in(TaskContext.get().partitionId() % buckets, buckets)
 
         def told(rows: pa.Table, size: int) -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
                 writer.write_table(rows.combine_chunks())
-            number = uuid.uuid4().int >> 65
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "n_bytes", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([next(numbers)], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "n_bytes", "payload"])
 
         held, size = [], 0
         for batch in batches:
-            lengths = batch.column(at).cast(pa.binary()).to_pylist()
+            lengths = pc.binary_length(batch.column(at)).fill_null(0).to_pylist()
             start = 0
-            for i, text in enumerate(lengths):
-                size += len(text) if text else 0
+            for i, length in enumerate(lengths):
+                size += length
                 if size >= BLOCK or i - start >= 50_000:
                     held.append(batch.slice(start, i + 1 - start))
                     yield told(pa.Table.from_batches(held), size)
@@ -297,6 +324,8 @@ def _blocks(docs: DataFrame, column: str) -> DataFrame:
                 held.append(batch.slice(start))
         if held:
             yield told(pa.Table.from_batches(held), size)
+        held.clear()
+        give_back()
 
     return docs.mapInArrow(packed, "block long, n_bytes long, payload binary")
 
@@ -349,7 +378,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["block", "kind", "range", "bits"])
 
     for batch in batches:
-        for kind, place, block, names in zip(*(c.to_pylist() for c in batch.columns)):
+        for kind, place, block, names in rows_of(batch):
             if key != (kind, place):
                 if held:
                     yield answered(key, held)
@@ -389,10 +418,10 @@ def _of_kind(replies: list[dict] | None, kind: int) -> list[dict]:
     return [r for r in replies or [] if r["kind"] == kind]
 
 
-def _ask(sent: DataFrame, partitions: int, label: str, like: DataFrame) -> DataFrame:
-    """Compare names range by range; the replies, of fewer bytes than `like`, are written, so that later steps don't ask again."""
+def _ask(sent: DataFrame, partitions: int, label: str) -> DataFrame:
+    """Compare names range by range; the replies are written, so that later steps don't ask again."""
     dealt = sent.repartition(partitions, "kind", "range").sortWithinPartitions("kind", "range", "block")
-    return materialize(dealt.mapInArrow(_compare, _REPLY), label, like=like)
+    return materialize(dealt.mapInArrow(_compare, _REPLY), label)
 
 
 def _with_replies(blocks: DataFrame, *replies: DataFrame) -> DataFrame:
@@ -421,8 +450,7 @@ def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_te
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
     name, path = f"loomstone_blocks_{uuid.uuid4().hex}", fresh_path(spark, "blocks")
-    # dealt out before, so that a bucket is one file
-    _blocks(docs, text).repartition(partitions, "block").write.bucketBy(partitions, "block").option("path", path).option("compression", "none").saveAsTable(name)
+    _blocks(docs, text, partitions).write.bucketBy(partitions, "block").option("path", path).option("compression", "none").saveAsTable(name)
     blocks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # its name alone: the files are read on
     drop_garbage(spark)
@@ -431,13 +459,13 @@ def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_te
 
     def send_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, payload in rows_of(batch, 1):
                 block = Block(payload, text, cover)
                 for kind, names in ((WHOLE, block.digests()[1]), (HEADS, block.heads()[1])):
                     if (rows := _send(number, kind, Names(names, ranges))) is not None:
                         yield rows
 
-    heads = _ask(blocks.select("block", "payload").mapInArrow(send_heads, _SENT), partitions, "heads", blocks)
+    heads = _ask(blocks.select("block", "payload").mapInArrow(send_heads, _SENT), partitions, "heads")
     drop_garbage(spark)
 
     class Resumed:
@@ -459,19 +487,19 @@ def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_te
 
     def send_longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, payload, replies in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, payload, replies in rows_of(batch, 1):
                 if (rows := _send(number, LONGER, Resumed(payload, replies).longer)) is not None:
                     yield rows
 
     def send_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, payload, replies in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, payload, replies in rows_of(batch, 1):
                 if (rows := _send(number, PREFIXES, Resumed(payload, replies).prefixes()[1])) is not None:
                     yield rows
 
-    longer = _ask(_with_replies(blocks, heads).mapInArrow(send_longer, _SENT), partitions, "longer", blocks)
+    longer = _ask(_with_replies(blocks, heads).mapInArrow(send_longer, _SENT), partitions, "longer")
     drop_garbage(spark)
-    prefixes = _ask(_with_replies(blocks, heads, longer).mapInArrow(send_prefixes, _SENT), partitions, "prefixes", blocks)
+    prefixes = _ask(_with_replies(blocks, heads, longer).mapInArrow(send_prefixes, _SENT), partitions, "prefixes")
     drop_garbage(spark)
 
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
@@ -479,7 +507,7 @@ def dedup(docs: DataFrame, text: str = "text", rewrite: bool = False, without_te
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, payload, replies in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, payload, replies in rows_of(batch, 1):
                 resumed = Resumed(payload, replies)
                 block = resumed.block
                 starts, names = resumed.prefixes()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, give_back, materialize, table
+from .common import doc_key, give_back, materialize, rows_of, table
 
 #: Training reads at most this many labelled rows, those of least hash, and their whole texts.
 SAMPLE_ROWS = 5_000
@@ -333,7 +333,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            found = [scorer.probability(t) for t in batch.column(1).to_pylist()]
+            found = [scorer.probability(row[1]) for row in rows_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
         del scorer
         give_back()
@@ -350,7 +350,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            mask = pa.array([scorer.probability(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_())
+            mask = pa.array([scorer.probability(text) < threshold for (text,) in rows_of(batch.select([at]))], pa.bool_())
             yield batch.filter(mask)
         del scorer
         give_back()

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import random
 
 import duckdb
@@ -95,3 +96,11 @@ def test_passage_of_51_words(spark):
         for d, t in enumerate(texts):
             gone = {j for i in range(len(t) - length + 1) if counts[t[i : i + length]] > 1 for j in range(i, i + length)}
             assert got[d] == len(gone)
+
+
+def test_buckets(spark):
+    """A task's block numbers are in the bucket that Spark's hash gives them."""
+    for n in (1, 7, 200):
+        numbers = [x for k in range(min(n, 5)) for x in itertools.islice(S.numbers_in(k, n), 20)]
+        found = spark.createDataFrame([(x,) for x in numbers], "x long").selectExpr("x", f"pmod(hash(x), {n}) AS b").collect()
+        assert [r["b"] for r in found] == [i // 20 for i in range(len(numbers))] and len(set(numbers)) == len(numbers)
