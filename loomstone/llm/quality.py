@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, doc_key, table, words_of
+from .common import SPACE_CHARS, doc_key, rows_apart, table, words_of
 from .toxicity import labelled_sample
 
 #: Training reads at most this many labelled rows, those of least hash, and their whole texts.
@@ -182,11 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows: i
 def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
     """Every row of `docs` with its statistics and score (0 to 1).
 
-    Null and empty texts have statistics of 0 and are scored by the rules that these meet; repeated
-    rows score alike; an empty table gives an empty result; columns named like a statistic are replaced.
+    Null and empty texts have statistics of 0 and are scored by the rules that these meet; texts of any length
+    are read whole; repeated rows score alike; an empty table gives an empty result; columns named like a
+    statistic or the score are replaced, all others stay.
     """
-    rows = docs.drop("score", *STATISTICS)
-    return with_statistics(rows).withColumn("score", model.column())
+    added = [*STATISTICS, "score"]
+    rows = rows_apart(docs, [c for c in docs.columns if c not in added], text=F.col("text").cast("string"))
+    return with_statistics(rows).withColumn("score", model.column()).select("row.*", *added)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -172,3 +172,12 @@ def test_plain_statistics(spark, odd_documents):
         assert set(want) == set(names) and all(abs(r[n] - want[n]) < 1e-9 for n in names)
         total = model.bias + sum(w for w, rule in model.rules if all((r[n] > cut) == above for n, above, cut in rule))
         assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_clashing_columns(spark):
+    names = ["_words", "_dense", "_lines", "_hashes", "_solid", "_after", "row", "upper", "score"]
+    docs = spark.createDataFrame([(1, "Weft and warp.", *range(9))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    model = Q.RuleEnsemble([(1.0, (("log_words", True, 0.5),))], -1.0)
+    found = Q.score(docs, model)
+    assert found.columns == ["doc_id", "text", *names[:7], *Q.STATISTICS, "score"]
+    assert tuple(found.first())[2:9] == tuple(range(7)) and found.first()["score"] == 0.5
