@@ -221,6 +221,45 @@ def _lua(bare: str) -> list[Function]:
     return found
 
 
+#: First words of a line that begin no equation of a function (fixed values).
+_HASKELL = frozenset("module import data type newtype class instance infix infixl infixr deriving where foreign default pattern let in if then else case of do".split())
+
+
+def _end_of_body(lines: list[str], i: int) -> int:
+    """The last line further in than line i before one that is not."""
+    indent, end = len(lines[i]) - len(lines[i].lstrip()), i
+    for j in range(i + 1, len(lines)):
+        if lines[j].strip():
+            if len(lines[j]) - len(lines[j].lstrip()) <= indent:
+                break
+            end = j
+    return end
+
+
+def _by_line(bare: str, language: str) -> list[Function]:
+    """Functions that a line begins: let bindings outside of others, equations with arguments, and functions up to their end word."""
+    lines, found, skip = bare.split("\n"), [], 0
+    for i, line in enumerate(lines):
+        if i < skip:
+            continue
+        if language == "Vim Script":
+            m = re.match(r"\s*:?\s*fu(?:n|nc|nct|ncti|nctio|nction)?!?\s+([\w:#.<>]+)\s*\(", line)
+            end = next((j for j in range(i, len(lines)) if re.match(r"\s*:?\s*endf(?:u|un|unc|unct|uncti|unctio|unction)?\b", lines[j])), -1) if m else -1
+        elif language == "OCaml":
+            m = re.match(r"\s*(?:let(?:\s+rec)?|and)\s+([a-z_][\w']*)", line)
+            end = _end_of_body(lines, i) if m else -1
+        else:
+            m = re.match(r"([a-z_][\w']*)\s+(?!::)[^=|\s].*?(?:=|\||$)", line)
+            end = _end_of_body(lines, i) if m else -1
+            body = " ".join(lines[i : end + 1])
+            if not m or m.group(1) in _HASKELL or re.match(r"[\w', ]+::", line) or not re.search(r"(?<![=<>/!|])=(?![=>])", body):
+                continue
+        if end >= 0:
+            found.append(Function(m.group(1), "fn", i + 1, end + 1))
+            skip = end + 1
+    return found
+
+
 def scan(text: str, path: str, test_path: bool = False) -> Scan | None:
     """Line classes and functions of a file; None for an unknown extension."""
     language = language_by_path(path)
@@ -241,6 +280,8 @@ def scan(text: str, path: str, test_path: bool = False) -> Scan | None:
         out.functions = _indented(bare, language)
     elif language == "Lua":
         out.functions = _lua(bare)
+    elif language in ("Vim Script", "OCaml", "Haskell"):
+        out.functions = _by_line(bare, language)
     elif language in _BRACES or language in _METHODS:
         out.functions = _braced(text, bare, language)
     for f in out.functions:

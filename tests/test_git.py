@@ -121,6 +121,9 @@ def test_line_classes(path, text, want):
         ("a.go", "func Add(a int) int {\n\treturn a\n}\nfunc (l *L) Log() {\n}\nfunc TestX(t *T) {}\n", [("Add", "fn", 1, 3), ("Log", "method", 4, 5), ("TestX", "test", 6, 6)]),
         ("a.c", "int main(void) {\n  if (x) { y(); }\n}\nstatic void\nfoo(int a)\n{\n}\n", [("main", "fn", 1, 3), ("foo", "fn", 4, 7)]),
         ("a.ts", "class A {\n  log(x) {\n  }\n}\nfunction add(a, b) { return a; }\n", [("log", "method", 2, 3), ("add", "fn", 5, 5)]),
+        ("a.vim", "let x = 1\nfunction! s:Go(a) abort\n  return 1\nendfunction\n\nfu Foo#bar()\nendf\n", [("s:Go", "fn", 2, 4), ("Foo#bar", "fn", 6, 7)]),
+        ("a.ml", "open List\nlet rec len l =\n  let n = 1 in\n  n\n\nand other = 2\nmodule M = struct\n  let f x =\n    x\n  let g = 1\nend\n", [("len", "fn", 2, 4), ("other", "fn", 6, 6), ("f", "fn", 8, 9), ("g", "fn", 10, 10)]),
+        ("a.hs", "module M where\nimport X\nsize :: [a] -> Int\nsize [] = 0\nsize (_:xs) = 1 + n\n  where n = size xs\nlimit = 3\ndata T = A\nabs' x\n  | x < 0 = -x\n  | otherwise = x\n", [("size", "fn", 4, 4), ("size", "fn", 5, 6), ("abs'", "fn", 9, 11)]),
         ("a.txt", "x", None),
     ],
 )
