@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_garbage, gathered, give_back, join_spread, materialize, rows_apart, rows_of
+from .common import drop_garbage, give_back, join_spread, materialize, rows_apart, rows_of
 from .simhash import word_parts
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -155,7 +155,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     every = gone[0] if len(gone) == 1 else gone[0].unionAll(gone[1]).distinct()
     drop_garbage(docs.sparkSession)
     rows = rows_apart(docs, name=F.xxhash64(text))
-    return gathered(rows.join(every, "name", "left_anti").select("row.*"), docs)
+    return rows.join(every, "name", "left_anti").select("row.*")
 
 
 def _gone(members: DataFrame, described: DataFrame, share: int | None = None) -> DataFrame:
