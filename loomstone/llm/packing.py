@@ -19,11 +19,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, worker_cache
+from .common import give_back, materialize, table, worker_cache
 
 WINDOW, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
-#: Pieces that one task packs; runs in a generation of those whose ids a worker knows (some 100 MB); characters split at a time, and learned from.
-SHARD, REMEMBERED, PART, GROUP = 50_000, 600_000, 1 << 20, 1 << 18
+#: Pieces that one task packs; runs in a generation of those whose ids a worker knows (some 60 MB); characters split at a time, and learned from.
+SHARD, REMEMBERED, PART, GROUP = 50_000, 350_000, 1 << 20, 1 << 18
 
 
 class WordIds:
@@ -118,7 +118,7 @@ class WordIds:
             left = []
             for i in places:
                 run = runs[i]
-                if (ids := older.get(run)) is not None:
+                if (ids := older.pop(run, None)) is not None:
                     got[i] = known[run] = ids
                 else:
                     missing[lowered][run] = None
@@ -194,6 +194,7 @@ def cut_pieces(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKENIZER
             if with_ids:
                 arrays.append(pa.array(ids, pa.binary()))
             yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
+        give_back()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids

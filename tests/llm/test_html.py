@@ -93,11 +93,11 @@ def test_deep_and_long_pages():
     """Time and memory by the length of a page, however deep its elements and wrong its tags."""
     pages = [
         "<div class=a>" * 100_000 + "<p>" + LONG,
-        "<x-y>" * 50_000 + "</z>" * 50_000 + "<li>" * 50_000 + LONG,
-        "<li><div>" + "<x-y>" * 40_000 + "<li></li>" * 40_000 + LONG,
-        "<article>" * 30_000 + LONG + "</article>" * 30_000,
-        "<p>" + LONG * 5_000,
-        "<a href='" * 20_000 + "<p>" + LONG,
+        "<x-y>" * 20_000 + "</z>" * 20_000 + "<li>" * 20_000 + LONG,
+        "<li><div>" + "<x-y>" * 20_000 + "<li></li>" * 20_000 + LONG,
+        "<article>" * 15_000 + LONG + "</article>" * 15_000,
+        "<p>" + LONG * 3_000,
+        "<a href='" * 10_000 + "<p>" + LONG,
     ]
     for page in pages:
         tracemalloc.start()
