@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import HOT, attach_small, forget, fresh_path, gathered, join_spread, materialize, rows_apart, rows_of, table
@@ -29,6 +29,8 @@ from .common import HOT, attach_small, forget, fresh_path, gathered, join_spread
 BITS, SEGMENTS, RADIUS, SEED, SHINGLE = 64, 2, 2, 42, 3
 #: Members of a table's bucket that are compared one by one with what asks for it; links in a file.
 BUCKET, LINKS = 256, 1_000_000
+#: Nodes that a task folds into stars at a time.
+RUN = 100_000
 #: Texts are read in parts of about this many bytes, so that a very long one needs no more memory.
 PART = 1 << 22
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -128,32 +130,74 @@ def link_stars(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return verified(fetched(calm)).unionAll(crowded_links(members, crowded)).distinct()
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v), a run of them at a time: each node of a run that isn't the least it reaches in it, with that least one."""
+    for above in _forests(batches):
+        nodes = list(above)
+        roots = [_top(above, node) for node in nodes]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["u", "v"])
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, int]]:
+    above: dict[int, int] = {}
+    for batch in batches:
+        for u, v in rows_of(batch):
+            low, high = sorted((_top(above, u), _top(above, v)))
+            if low != high:
+                above[high] = low
+            if len(above) >= RUN:
+                yield above
+                above = {}
+    yield above
+
+
+def _top(above: dict[int, int], node: int) -> int:
+    while (parent := above.get(node, node)) != node:
+        above[node] = node = above.get(parent, parent)
+    return node
+
+
 def components(links: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """(node, root): the least node reachable from each node of the links (a, b) that isn't a root itself.
 
-    Alternates large-star and small-star steps until nothing moves; each round is written to the
-    shared folder, and the one before it is removed. Nodes of very many links are spread over tasks. `like`
-    is a frame of about as many bytes as the links, at least.
+    Alternates large-star and small-star steps until nothing moves; before each pair of them the links are folded to
+    stars within each task, so that few pairs are needed (one, where a task holds all links). Each step is written to
+    the shared folder, for plans that the driver can hold, and the one before it is removed. Nodes of very many links
+    are spread over tasks. `like` is a frame of about as many bytes as the links, at least.
     """
     spark = links.sparkSession
-    path = fresh_path(spark, "stars")
+    path, steps = fresh_path(spark, "stars"), itertools.count()
+
+    def written(df: DataFrame) -> DataFrame:
+        step = next(steps)
+        df.write.parquet(f"{path}/{step}")
+        if step:
+            forget(spark, f"{path}/{step - 1}")
+        return spark.read.schema("u long, v long").parquet(f"{path}/{step}")
+
     links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    (links if like is None else gathered(links, like)).write.parquet(f"{path}/0")
-    state = None
-    for k in itertools.count():
-        now = spark.read.schema("u long, v long").parquet(f"{path}/{k}")
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == state or not mark[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = mark
+    now = written(links if like is None else gathered(links, like))
+    mark = _mark(now)
+    while mark[0]:
+        now = written(now.coalesce(1 + 2 * mark[0] // LINKS).mapInArrow(_folded, "u long, v long"))
+        mark = _mark(now)
+        files = 1 + 2 * mark[0] // LINKS
         both = now.unionAll(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = join_spread(both, least, ["u"], "n", mark[0] <= HOT).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large.coalesce(files))
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = join_spread(large, least, ["u"], "n", mark[0] <= HOT).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = small.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
-        after.coalesce(1 + 2 * mark[0] // LINKS).write.parquet(f"{path}/{k + 1}")
-        forget(spark, f"{path}/{k}")
+        now = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files))
+        before, mark = mark, _mark(now)
+        if mark == before:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _mark(links: DataFrame) -> Row:
+    """The number of links (u, v), and what tells one set of them from another."""
+    return links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
 
 
 def rooted(prints: DataFrame) -> DataFrame:

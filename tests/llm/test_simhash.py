@@ -2,6 +2,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import xxhash
 
 from loomstone.llm import common as C
@@ -126,3 +127,44 @@ def test_one_of_each(odd_documents, no_documents):
     assert len(kept) == len(groups)
     assert set(kept) <= set(rows)
     assert S.one_of_each(no_documents).count() == 0 and S.near_duplicates(no_documents).count() == 0
+
+
+def test_long_chains_take_few_jobs(spark, monkeypatch):
+    """Links are folded within tasks before stars are made: the driver plans one pair of steps where a task holds all; tasks that hold few links find the same."""
+    rng = random.Random(8)
+    nodes = [rng.getrandbits(64) - (1 << 63) for _ in range(900)]
+    links = [*zip(nodes[:600], nodes[1:600]), *zip(nodes[600:], nodes[601:]), (nodes[0], nodes[400]), (nodes[7], nodes[7])]
+    frame = spark.createDataFrame(rng.sample(links, len(links)), "a long, b long").repartition(3)
+    want = {n: min(part) for part in (nodes[:600], nodes[600:]) for n in part if n != min(part)}
+    spark.sparkContext.setJobGroup("chains", "components")
+    try:
+        found = S.components(frame).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chains"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["node"]: r["root"] for r in found} == want and len(found) == len(want)
+    assert jobs <= 30
+    monkeypatch.setattr(S, "LINKS", 200)
+    assert {r["node"]: r["root"] for r in S.components(frame).collect()} == want
+
+
+def test_runs_of_links(monkeypatch):
+    """Runs keep what is reachable, whatever their length; no links give none."""
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in links[k : k + 90]], pa.int64()) for i in (0, 1)], ["u", "v"]) for k in range(0, 260, 90)]
+
+    def reached(pairs):
+        root = {n: n for n in range(300)}
+        for _ in range(300):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    for run in (1, 7, 10_000):
+        monkeypatch.setattr(S, "RUN", run)
+        folded = [(r["u"], r["v"]) for batch in S._folded(iter(batches)) for r in batch.to_pylist()]
+        assert reached(folded) == reached(links) and all(u > v for u, v in folded)
+        assert run == 1 or len(folded) <= 260
+    assert dict(folded) == {n: r for n, r in reached(links).items() if n != r}
+    assert sum(batch.num_rows for batch in S._folded(iter([]))) == 0
