@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as C
 from loomstone.llm import toxicity as T
 from loomstone.llm.mixing import mix_sql
-from loomstone.llm.simhash import near_duplicates
+from loomstone.llm.simhash import near_duplicates, simhash
 from loomstone.llm.suffixes import LENGTH
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +78,23 @@ def test_run(spark):
         windows[p["sequence_id"]] += p["length"]
     assert pieces and max(windows.values()) <= 2048
     assert 4 <= len(C.STAGES) <= 5 and C.ORACLE_SQL is None
+
+
+def test_near_duplicates_take_few_jobs(spark):
+    """Texts of which each links to the next alone are not followed in rounds that the driver plans one by one."""
+    words = [f"w{i}" for i in range(3000)]
+    chain = [(i, " ".join(words[: 3000 - 2 * i]), "en", "a", 1) for i in range(160)]
+    docs = spark.createDataFrame(chain, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    prints = [simhash(r[1].encode()) for r in chain]
+    linked = [[j for j in range(160) if (prints[i] ^ prints[j]).bit_count() <= 2] for i in range(160)]
+    roots, before = list(range(160)), None
+    while roots != before:
+        before, roots = roots, [min(roots[j] for j in near) for near in linked]
+    spark.sparkContext.setJobGroup("chain", "near_duplicates")
+    try:
+        kept = sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, SF).select("doc_id").collect())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept == sorted(set(roots)) and len(kept) < 100
+    assert jobs <= 45
