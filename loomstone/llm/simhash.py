@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT, attach_small, forget, fresh_path, gathered, join_spread, materialize, rows_apart, rows_of, table
+from .common import HOT, attach_small, forget, fresh_path, gathered, join_spread, materialize, merged, rows_apart, rows_of, table
 
 BITS, SEGMENTS, RADIUS, SEED, SHINGLE = 64, 2, 2, 42, 3
 #: Members of a table's bucket that are compared one by one with what asks for it; links in a file.
@@ -98,7 +98,7 @@ def fetched(members: DataFrame) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << bit).cast("long") for bit in range(BITS // SEGMENTS)])
     probes = members.select(F.col("fp").alias("a"), "key", F.explode(flips).alias("flip")).filter(F.col("key").bitwiseAND(F.col("flip")) == 0)
     probes = probes.select("a", F.col("key").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("own"))
-    return members.join(probes, "key").filter("not own or a < fp").select("a", F.col("fp").alias("b"))
+    return members.join(merged(probes), "key").filter("not own or a < fp").select("a", F.col("fp").alias("b"))
 
 
 def verified(pairs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import duckdb
 import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from loomstone.llm import common as C
 from loomstone.llm import simhash as S
@@ -168,3 +169,20 @@ def test_runs_of_links(monkeypatch):
         assert run == 1 or len(folded) <= 260
     assert dict(folded) == {n: r for n, r in reached(links).items() if n != r}
     assert sum(batch.num_rows for batch in S._folded(iter([]))) == 0
+
+
+def test_exploded_rows_are_not_broadcast(spark, tmp_path):
+    """At Spark's own threshold: the planner counts 33 probes a segment as one, and the driver would build a table of them that grows with the input."""
+    rng = random.Random(10)
+    prints = [rng.getrandbits(62) for _ in range(2000)]
+    prints += [p ^ 5 for p in prints[:50]]
+    spark.createDataFrame([(p,) for p in prints], "fp long").write.parquet(f"{tmp_path}/prints")
+    found = S.fetched(S.segment_table(spark.read.parquet(f"{tmp_path}/prints")))
+    pairs = {frozenset(r) for r in S.verified(found).collect() if r["a"] != r["b"]}
+    assert pairs >= {frozenset((p, p ^ 5)) for p in prints[:50]}
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    small = spark.range(300).select("id", F.col("id").alias("there"))
+    attached = C.attach_small(spark.range(1000), small, ["id"], limit=100)
+    assert sum(r["there"] is not None for r in attached.collect()) == 300 and attached.count() == 1000
+    assert "BroadcastHashJoin" not in attached._jdf.queryExecution().executedPlan().toString()
